@@ -77,9 +77,21 @@ class LineRuns:
                 self._write(self.merged(paths), level + 1)
 
     def repeated(self) -> DataFrame:
-        """(h1, h2, keeper) of the lines found in ``min_docs`` documents or more."""
+        """(h1, h2, keeper, n_docs) of the lines found in ``min_docs`` documents or more; n_docs may lack documents that decide nothing."""
         paths = [p for level in self.levels for p in level]
-        return self.merged(paths).where(F.col("n_docs") >= self.min_docs).select(*HASH, F.col("last_doc").alias("keeper"))
+        return self.merged(paths).where(F.col("n_docs") >= self.min_docs).select(*HASH, F.col("last_doc").alias("keeper"), "n_docs")
+
+
+def with_keeper(lines: DataFrame, repeated: DataFrame, hottest: int = 8192) -> DataFrame:
+    """The lines that are repeated, with their keeper.
+
+    Lines of which one in ``hottest`` or more is a copy are at most ``hottest`` different ones, as documents that hold
+    a line are never more than its copies: these are broadcast, so that no task gets all copies of one. The rest is
+    joined by hash.
+    """
+    least = F.lit(-(-lines.count() // hottest))
+    hot, rest = repeated.where(F.col("n_docs") >= least).drop("n_docs"), repeated.where(F.col("n_docs") < least).drop("n_docs")
+    return lines.join(F.broadcast(hot), HASH).unionByName(lines.join(F.broadcast(hot), HASH, "left_anti").join(rest, HASH))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -95,7 +107,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     store = LineRuns(docs.sparkSession, fanout=fanout, min_docs=min_docs)
     for batch in range(batches):
         store.add(lines.where(F.col("batch") == batch))
-    hits = lines.join(store.repeated(), HASH).where(~F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
+    found = with_keeper(lines, written(store.repeated(), "repeated"))
+    hits = found.where(~F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
     dropped = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_dropped")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_dropped")
     text = F.coalesce("text", F.lit(""))
     joined = docs.drop("n_lines", "n_dropped", "kept_text").withColumn("_text_hash", F.xxhash64(text)).join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
