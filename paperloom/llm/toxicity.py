@@ -78,16 +78,18 @@ def features(text: bytes, insults: frozenset[bytes], person: frozenset[bytes]) -
     ]
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, features): an array of doubles for every row."""
+def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with features: an array of doubles for every row."""
+    kept = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         insults, person = (frozenset(w.encode() for w in group) for group in (INSULTS, SECOND_PERSON))
         for batch in small_batches(batches):
-            rows = [features(x, insults, person) for x in text_bytes(batch.column(batch.schema.get_field_index("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "features"])
+            at = batch.schema.get_field_index
+            rows = [features(x, insults, person) for x in text_bytes(batch.column(at("text")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features array<double>")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "features array<double>")
 
 
 def fold(doc_id: str = "doc_id"):
@@ -110,13 +112,18 @@ class ToxicityModel:
         return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).drop("raw")
 
 
-def fit(featured: DataFrame, labels: DataFrame, sample: int = 15_000, trees: int = 20, depth: int = 4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 15_000, trees: int = 20, depth: int = 4) -> ToxicityModel:
     """Fit on labelled rows outside the held-out fold: folds 2 to 4 grow the trees, fold 1 calibrates them.
 
-    A doc_id with several labels counts as toxic if any is 1; rows whose label is null are left out.
+    The sample are the ``sample`` labelled ids of smallest hash. A doc_id with several labels counts as toxic if any is
+    1; rows whose label is null are left out. Of rows that repeat a doc_id, the least features count.
     """
-    marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
-    rows = featured.dropDuplicates(["doc_id"]).withColumn("fold", fold()).where("fold > 0").join(marked, "doc_id")
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
+    marked = marked.withColumn("fold", fold()).where("fold > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # At most ``sample`` rows go to all tasks, so that no other text than theirs is moved or read twice.
+    marked = written(marked, "sampled_labels")
+    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi"))
+    rows = rows.groupBy("doc_id").agg(F.min("features").alias("features")).join(F.broadcast(marked), "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("fold", "label", "features")
     rows = written(rows.coalesce(1), "sample").coalesce(1).withColumn("features", array_to_vector("features"))
     seen = {(r["part"], r["label"]): r["count"] for r in rows.groupBy((F.col("fold") == 1).alias("part"), "label").count().collect()}
@@ -140,12 +147,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 15_000) ->
     the score is the share of toxic labels (0 without any). Rows with a null doc_id are scored but never learnt from,
     and count as held out. Rows that repeat are scored alike. Columns other than doc_id and text are never read.
     """
-    featured = written(with_features(docs), "features")
-    scored = fit(featured, labels, sample).score(featured)
+    scored = fit(docs, labels, sample).score(with_features(docs))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 15_000) -> DataFrame:
-    """``docs`` without the documents whose score is 0.5 or more; rows that repeat a doc_id go if any of them is toxic."""
-    toxic = score_toxicity(docs, labels, sample).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    """``docs`` without the rows whose text scores 0.5 or more. Rows are scored where they are read: none is moved."""
+    carried = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in carried.items()), "text")
+    scored = fit(docs, labels, sample).score(with_features(rows, tuple(carried)))
+    return scored.where("score < 0.5").select(*(F.col(k).alias(c) for k, c in carried.items()))
