@@ -153,7 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 15_000) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 15_000) -> DataFrame:
     """``docs`` without the rows whose text scores 0.5 or more. Rows are scored where they are read: none is moved."""
-    carried = {f"_c{i}": c for i, c in enumerate(docs.columns)}
-    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in carried.items()), "text")
+    carried = {"text" if c == "text" else f"_c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in carried.items()))
     scored = fit(docs, labels, sample).score(with_features(rows, tuple(carried)))
     return scored.where("score < 0.5").select(*(F.col(k).alias(c) for k, c in carried.items()))
