@@ -30,7 +30,7 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Quality of a document: 0.05 to 1, the share of characters that aren't symbols, squared."""
-    plain = F.char_length(F.translate(text, "#$%&*|<>{}[]=_~^\\@+!", "")) / F.char_length(text)
+    plain = F.char_length(F.translate(text, "#$%&*|<>{}[]=_~^\\@+!", "")) / F.nullif(F.char_length(text), F.lit(0))
     return F.greatest(F.lit(0.05), F.coalesce(plain * plain, F.lit(1.0)))
 
 

@@ -250,7 +250,7 @@ def brute_fingerprint(text):
 
 @pytest.mark.parametrize("shard", [simhash.SHARD, 8])
 def test_simhash_by_brute_force(spark, edge, docs, shard):
-    both = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text")).unionByName(docs.where("doc_id % 9 = 0").select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat(F.col("text"), F.lit(" tail")).alias("text")))
+    both = docs.select("doc_id", "text").unionByName(edge.select((F.col("doc_id") + 50_000).alias("doc_id"), "text")).unionByName(docs.where("doc_id % 9 = 0").select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat(F.col("text"), F.lit(" tail")).alias("text")))
     rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in both.collect()]
     up = {d: d for d, _ in rows}
 
