@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Function names with a LaTeX command of the same name.
 FUNCTIONS = """
@@ -163,7 +164,7 @@ def omml_to_latex(xml: str | None) -> str:
     return _latex(root).strip() or "".join(root.itertext()).strip()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def to_latex(xml: pd.Series) -> pd.Series:
     return xml.map(omml_to_latex)
 

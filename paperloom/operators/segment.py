@@ -18,12 +18,16 @@ from paperloom.operators.options import is_latex, option_images, remainder, spli
 
 #: Lines after an answer-section entry that may hold its analysis.
 LOOK_AHEAD = 10
-PAPER = Window.partitionBy("file_id").orderBy("pos")
+
+
+def paper_order():
+    """The lines of a paper in order; made on call, as windows need a session."""
+    return Window.partitionBy("file_id").orderBy("pos")
 
 
 def deal_by_windows(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     """Classified lines of papers without an answer section, with kind and ord (the question, from 0)."""
-    upto = PAPER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = paper_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = lines.withColumn("_section", F.sum((F.col("flag") == "header").cast("int")).over(upto))
     first = F.min(F.when(F.col("number").isNotNull(), F.col("pos"))).over(Window.partitionBy("file_id", "_section"))
     out = out.withColumn("_first", first)
@@ -88,7 +92,7 @@ def look_ahead(lines: DataFrame) -> DataFrame:
     The analysis is the following lines up to a numbered one: of lines that start with 【 only what follows an analysis
     tag, of the others those that don't start with 故选.
     """
-    rest = F.collect_list("line").over(PAPER.rowsBetween(1, LOOK_AHEAD))
+    rest = F.collect_list("line").over(paper_order().rowsBetween(1, LOOK_AHEAD))
     numbered = lambda x: F.regexp_like(x, F.lit(rf"{P.FLAGS}^\d+\s*{P.DOT}"))
     tag = rf"{P.FLAGS}(?:{'|'.join(P.ANALYSIS_TAGS)})"
 
@@ -111,7 +115,7 @@ def clean_content(content: Column) -> Column:
 
 def with_type(lines: DataFrame) -> DataFrame:
     """Classified lines with the type and type word of the last header at or before each."""
-    upto = PAPER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = paper_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     word = F.last("header_word", ignorenulls=True).over(upto)
     return lines.withColumn("type_name", F.coalesce(word, F.lit(""))).withColumn("type", F.coalesce(header_type(F.nullif("type_name", F.lit(""))), F.lit("unknown")))
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 # First bytes of metafiles, in the order in which they are looked for.
 SIGNATURES = ((".wmf", b"\xd7\xcd\xc6\x9a"), (".emf", b" EMF"))
@@ -16,7 +17,7 @@ TOOLS = {"image": ("inkscape", "magick", "convert", "ffmpeg"), "metafile": ("ink
 FONTS = 5
 
 
-@pandas_udf("struct<suffix: string, data: binary>")
+@pandas_udf(StructType([StructField("suffix", StringType()), StructField("data", BinaryType())]))
 def metafile(data: pd.Series) -> pd.DataFrame:
     """The metafile inside the bytes: the first WMF, else the first EMF; null data and .wmf where there is none."""
     rows = []
@@ -26,7 +27,7 @@ def metafile(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["suffix", "data"])
 
 
-@pandas_udf("struct<version: int, fonts: array<string>>")
+@pandas_udf(StructType([StructField("version", IntegerType()), StructField("fonts", ArrayType(StringType()))]))
 def equation_header(data: pd.Series) -> pd.DataFrame:
     """Version and first font names of equation data; null and none where it is shorter than a header (28 bytes)."""
     rows = []
