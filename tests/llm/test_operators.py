@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,6 +103,55 @@ def test_quality_is_modified_kneser_ney(spark):
         assert scorer.log_probability(x)[1] == pytest.approx(sum(math.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)), rel=1e-4)
 
 
+def test_word_pairs_by_brute_force(spark):
+    good = ["the cat sat on the mat", "The dog sat on a cat", None, "", "a dog 12 a dog 34", "the cat " * 40] * 2
+    other = ["the dog sat on the zebra ##", "", "unseen wordings only " + "x" * 200, "the cat", "a\0b"]
+    frame = lambda x: spark.createDataFrame([(i, t) for i, t in enumerate(x)], "doc_id long, text string")
+    model = quality.train_words(frame(good))
+    known, scorer = model[0], quality.Scorer(*model[1])
+    assert set(known) == {w for t in good if t for w in quality.split(t.encode())}
+    number = {w: i for i, w in enumerate(known, 1)}
+
+    def ids(text):
+        return [0, *(number.get(w) or quality.KNOWN + zlib.crc32(w) % quality.RARE for w in quality.split(text)), 0]
+
+    pairs = Counter(p for t in good for p in itertools.pairwise(ids((t or "").encode())))
+    before = Counter(b for _, b in pairs)
+
+    def cuts(c):
+        n = [0] + [sum(v == i for v in c.values()) for i in range(1, 5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        return [0.0] + [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
+
+    d2, d1 = cuts(pairs), cuts(before)
+
+    def p(a, b):
+        n = sum(before.values())
+        one = (before[b] - d1[min(before[b], 3)]) / n + sum(d1[min(v, 3)] for v in before.values()) / n / quality.NUMBERS
+        after = [v for (x, _), v in pairs.items() if x == a]
+        if not after:
+            return one
+        own = pairs[a, b]
+        return (own - d2[min(own, 3)]) / sum(after) + sum(d2[min(v, 3)] for v in after) / sum(after) * one
+
+    got = {r["doc_id"]: r for r in quality.perplexities(frame(good + other).repartition(3), model).collect()}
+    assert len(got) == len(good) + len(other)
+    for i, t in enumerate(good + other):
+        w = quality.split((t or "").encode())
+        spelt = sum(scorer.log_probability(x)[1] + math.log(quality.RARE) for x in w if x not in number)
+        assert got[i]["log_prob"] == pytest.approx(sum(math.log(p(*x)) for x in itertools.pairwise(ids((t or "").encode()))) + spelt, rel=1e-4, abs=1e-4)
+        assert got[i]["n_symbols"] == len(b" ".join(w)) + 1
+
+
+def test_packed_pairs():
+    rng = np.random.default_rng(3)
+    pair = np.unique(rng.integers(0, 1 << 32, 5000, dtype=np.uint64))
+    n = rng.integers(1, 1 << 40, len(pair))
+    parts = [quality.unpack_counts(b) for _, _, b in quality.by_shard(pair, 7, *quality.halves(n))]
+    back = dict(zip(np.concatenate([p for p, _ in parts]).tolist(), np.concatenate([c for _, c in parts]).tolist(), strict=True))
+    assert len(parts) == 7 and back == dict(zip(pair.tolist(), n.tolist(), strict=True))
+
+
 def test_quality_edges(spark, edge, docs, labels):
     out = quality.classify_quality(clashing(edge, "perplexity", "keep"), spark.createDataFrame([(4, 1), (4, 0), (None, 1)], "doc_id long, quality int"))
     assert out.count() == len(EDGE) and [r["trusted"] for r in out.where("doc_id = 4").collect()] == [True]
