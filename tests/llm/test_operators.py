@@ -134,7 +134,12 @@ def test_word_pairs_by_brute_force(spark):
         own = pairs[a, b]
         return (own - d2[min(own, 3)]) / sum(after) + sum(d2[min(v, 3)] for v in after) / sum(after) * one
 
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 97)  # tasks that only pass documents on
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     got = {r["doc_id"]: r for r in quality.perplexities(frame(good + other).repartition(3), model).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == len(good) + len(other)
     for i, t in enumerate(good + other):
         w = quality.split((t or "").encode())
