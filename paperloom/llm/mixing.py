@@ -2,7 +2,8 @@
 
 Each document draws the exponential key -ln(u) / weight, u from a hash of its id, so reruns agree. A source's target
 is met by complete epochs, then by its documents of smallest key up to the rest of the budget. Prefix sums run over
-key buckets per source; only the one bucket in which a source's budget ends is ordered row by row.
+groups of key buckets per source, then over the buckets of the group in which its budget ends; only the one bucket
+in which it ends is ordered row by row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from paperloom.session import written
 
 #: Weights of the sources in order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
-BUCKETS = 1 << 14
+BUCKETS, GROUP = 1 << 14, 1 << 7
 
 
 def word_count(text: Column) -> Column:
@@ -62,6 +63,13 @@ def keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
     return sized.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key.key"))) * BUCKETS).cast("int"))
 
 
+def ending(sums: DataFrame, by: str) -> DataFrame:
+    """The row of each source, in the order of ``by``, whose words reach ``rest``; so_far becomes the words before it."""
+    below = Window.partitionBy("_source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("so_far", F.col("so_far") + F.coalesce(F.sum("words").over(below), F.lit(0)))
+    return sums.where((F.col("so_far") < F.col("rest")) & (F.col("so_far") + F.col("words") >= F.col("rest")))
+
+
 def mix_plan(sized: DataFrame, share: float, most: float, cycle: tuple[float, ...]) -> DataFrame:
     """A row per source: source_size, target, epochs, and the bucket and key at which its last, partial epoch ends."""
     buckets = written(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "buckets")
@@ -69,10 +77,13 @@ def mix_plan(sized: DataFrame, share: float, most: float, cycle: tuple[float, ..
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     targets = written(targets.withColumnRenamed("source", "_source"), "targets")
-    below = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = buckets.withColumn("words_before", F.coalesce(F.sum("words").over(below), F.lit(0)))
-    ends = ends.join(targets, F.col("source").eqNullSafe(F.col("_source"))).where((F.col("words_before") < F.col("rest")) & (F.col("words_before") + F.col("words") >= F.col("rest")))
-    ends = written(ends.select(F.col("source").alias("_source"), F.col("_bucket").alias("end_bucket"), "words_before", "rest"), "ends")
+    # Where the budget ends: first the group of buckets, then the bucket in it, so that no task orders all of a source's.
+    group = F.floor(F.col("_bucket") / GROUP).cast("int")
+    groups = buckets.groupBy("source", group.alias("_group")).agg(F.sum("words").alias("words"))
+    groups = groups.join(few(targets), F.col("source").eqNullSafe(F.col("_source"))).withColumn("so_far", F.lit(0))
+    groups = few(written(ending(groups, "_group").select("_source", "_group", "so_far", "rest"), "groups"))
+    ends = buckets.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (group == F.col("_group")))
+    ends = written(ending(ends, "_bucket").select("_source", F.col("_bucket").alias("end_bucket"), F.col("so_far").alias("words_before"), "rest"), "ends")
     # Only the rows of these buckets are ordered one by one.
     edge = sized.select("source", "_bucket", "_key", "size").join(few(ends), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("end_bucket")))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
