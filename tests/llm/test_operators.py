@@ -163,6 +163,9 @@ def test_quality_edges(spark, edge, docs, labels):
     none = quality.classify_quality(edge, labels.limit(0))
     assert none.where("keep").count() == len(EDGE)
     assert quality.classify_quality(edge.limit(0), labels).count() == 0
+    merged = quality.classify_quality(edge, spark.createDataFrame([(4, 1), (9, 1)], "doc_id long, quality int"), broadcast_ids=0)
+    sent = quality.classify_quality(edge, spark.createDataFrame([(4, 1), (9, 1)], "doc_id long, quality int"))
+    assert rows_of(merged, ["doc_id", "log_prob", "keep"]) == rows_of(sent, ["doc_id", "log_prob", "keep"])
     good = quality.classify_quality(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int"))).collect()
     assert dict(good)[1] > 0.95 and dict(good)[0] < 0.5
 
