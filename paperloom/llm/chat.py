@@ -1,12 +1,16 @@
 """Chat formatting by quotation linking (DataFrame functions only).
 
-Quote levels are the leading ``>`` of lines. Lines of one level in a row form a passage; a normalised passage is hashed
-and joined to the first message of its conversation with the same text. A message replies to the latest earlier
-message that it quotes at its outermost level; threads follow these replies up to their roots.
+Quote levels are the leading ``>`` of lines. Own text (level 0) is hashed as a whole and by passage, paragraph and
+line; so is quoted text of each level, over the whole message and over each quote. Blank lines, with or without ``>``,
+end a paragraph but not a passage or a quote. Each quoted line is linked by the largest text around it that a message
+of the conversation wrote. A message replies to the latest earlier message that it quotes at its outermost level;
+threads follow these replies up to their roots.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from paperloom.llm.line_dedup import ascii_lower
 from paperloom.session import written
 
 MARKS = r"^[ \t]*>[ \t>]*"
+#: A text with quoted lines.
+QUOTING = r"(?:^|\n)[ \t]*>"
 
 
 def normalised(text: Column) -> Column:
@@ -27,40 +33,82 @@ def quote_lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.struct((F.char_length(marks(line)) - F.char_length(F.translate(marks(line), ">", ""))).alias("level"), F.regexp_replace(line, MARKS, "").alias("body")))
 
 
+def lines_of(text: Column) -> Column:
+    """array<struct<at, level, text>> of the lines that aren't blank: their place among all lines, and normalised text."""
+    placed = F.transform(quote_lines(text), lambda x, i: F.struct(i.alias("at"), x["level"].alias("level"), normalised(x["body"]).alias("text")))
+    return F.filter(placed, lambda x: x["text"] != "")
+
+
+def cut(lines: Column, starts: Callable[[Column, Column], Column]) -> Column:
+    """The lines as an array of arrays, cut before each line for which ``starts``(line before it, line) holds."""
+    n = F.size(lines)
+    first = F.filter(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: (i == 0) | starts(F.get(lines, i - 1), F.get(lines, i)))
+    ends = F.concat(F.slice(first, F.lit(2), n), F.array(n))
+    return F.transform(F.arrays_zip(first.alias("a"), ends.alias("b")), lambda s: F.slice(lines, s["a"] + 1, s["b"] - s["a"]))
+
+
+def by_level(lines: Column) -> Column:
+    return F.transform(F.array_distinct(F.transform(lines, lambda x: x["level"])), lambda v: F.filter(lines, lambda x: x["level"] == v))
+
+
 def passages(lines: Column) -> Column:
-    """array<struct<level, text>>: consecutive lines of one level, joined by line ends."""
-    last = F.size(lines) - 1
-    starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.coalesce(F.get(lines, i - 1)["level"], F.lit(-1))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(last + 1))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.struct(F.get(lines, s["a"])["level"].alias("level"), F.array_join(F.transform(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), lambda x: x["body"]), "\n").alias("text")))
+    return cut(lines, lambda x, y: x["level"] != y["level"])
+
+
+def joined(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["text"]), " ")
+
+
+def units(lines: Column) -> Column:
+    """array<struct<level, at, h1, h2>>: texts of one level, with the places of their lines: of the message, of each quote, passages, paragraphs and lines."""
+    quotes = F.flatten(F.transform(cut(lines, lambda x, y: (x["level"] > 0) != (y["level"] > 0)), by_level))
+    paragraphs = cut(lines, lambda x, y: (x["level"] != y["level"]) | (x["at"] + 1 != y["at"]))
+    parts = F.concat(by_level(lines), quotes, passages(lines), paragraphs, F.transform(lines, lambda x: F.array(x)))
+    return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["level"].alias("level"), F.transform(p, lambda x: x["at"]).alias("at"), *hashes(joined(p))))
 
 
 def parsed(conversations: DataFrame) -> DataFrame:
-    """The messages with body (without quotes) and quotes: array<struct<level, h1, h2>> of their distinct quoted passages."""
-    rows = conversations.withColumn("_lines", quote_lines(F.col("text"))).withColumn("_passages", passages(F.col("_lines")))
-    body = F.btrim(F.array_join(F.transform(F.filter("_passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n"), F.lit(" \t\n\x0b\f\r"))
-    quoted = F.filter("_passages", lambda p: (p["level"] > 0) & (normalised(p["text"]) != ""))
-    quotes = F.array_distinct(F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), *hashes(normalised(p["text"])))))
-    return rows.withColumns({"body": body, "quotes": quotes}).drop("_lines", "_passages")
+    """The messages with body (without quotes) and n_quotes: the number of their distinct quoted passages."""
+    quoting = F.col("text").rlike(QUOTING)
+    own = F.filter(quote_lines(F.col("text")), lambda x: x["level"] == 0)
+    body = F.when(quoting, F.array_join(F.transform(own, lambda x: x["body"]), "\n")).otherwise(F.coalesce("text", F.lit("")))
+    rows = conversations.withColumn("_lines", F.when(quoting, lines_of(F.col("text"))))
+    quoted = F.filter(passages(F.col("_lines")), lambda p: F.get(p, F.lit(0))["level"] > 0)
+    texts = F.transform(quoted, lambda p: F.concat(F.get(p, F.lit(0))["level"].cast("string"), F.lit(" "), joined(p)))
+    n = F.when(F.size("_lines") > 0, F.size(F.array_distinct(texts))).otherwise(0)
+    return rows.withColumns({"body": F.btrim(body, F.lit(" \t\n\x0b\f\r")), "n_quotes": n.cast("long")}).drop("_lines")
 
 
 def hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
+def exploded(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, message, n_own, level, at, h1, h2): a row for each text in ``units``; n_own counts a message's own lines."""
+    rows = messages.select("conv_id", "turn", F.xxhash64("text").alias("message"), lines_of(F.col("text")).alias("_lines")).where(F.size("_lines") > 0)
+    n_own = F.size(F.filter("_lines", lambda x: x["level"] == 0))
+    return rows.select("conv_id", "turn", "message", n_own.alias("n_own"), F.explode(units(F.col("_lines"))).alias("u")).select("conv_id", "turn", "message", "n_own", "u.*")
+
+
 def reply_links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, n_linked) of the messages that quote an earlier one, from ``parsed`` messages.
+    """(conv_id, turn, reply_to, n_linked) of the messages that quote an earlier one.
 
-    The original is the first message of the conversation whose own text is the passage: one row for each text, so
-    that a text repeated any number of times joins each quotation once.
+    The original of a text is the first message of the conversation whose whole own text it is, else the first that
+    has it as a passage, paragraph or line: one row for each text, so that a text repeated any number of times joins
+    each quotation once. Only conversations with quotes are hashed.
     """
     key = ["conv_id", "h1", "h2"]
-    own = messages.where((F.col("body") != "") & F.col("turn").isNotNull()).select("conv_id", "turn", *hashes(normalised(F.col("body"))))
-    originals = own.groupBy(*key).agg(F.min("turn").alias("original"))
-    quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
-    found = quotes.join(originals, key).where(F.col("original") < F.col("turn"))
+    known = messages.select("conv_id", "turn", "text").where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    quotes = written(exploded(known.where(F.col("text").rlike(QUOTING))).where("level > 0").drop("n_own").distinct(), "quotes")
+    own = exploded(known.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")).where("level = 0")
+    originals = own.groupBy(*key).agg(F.min(F.when(F.size("at") == F.col("n_own"), F.col("turn"))).alias("whole"), F.min("turn").alias("part"))
+    original = F.coalesce(*(F.when(F.col(c) < F.col("turn"), F.col(c)) for c in ("whole", "part")))
+    found = quotes.join(originals, key).withColumn("original", original).where("original is not null")
+    # The texts around a line hold each other, so the longest is the largest.
+    lines = found.select("conv_id", "turn", "message", "level", F.size("at").alias("n"), "original", F.explode("at").alias("line"))
+    linked = lines.groupBy("conv_id", "turn", "message", "line").agg(F.max(F.struct("n", "level", "original")).alias("best")).select("conv_id", "turn", "best.*")
     best = F.max(F.struct((-F.col("level")).alias("depth"), F.col("original").alias("turn")))
-    return found.groupBy("conv_id", "turn").agg(best["turn"].alias("reply_to"), F.count_distinct("original").alias("n_linked"))
+    return linked.groupBy("conv_id", "turn").agg(best["turn"].alias("reply_to"), F.count_distinct("original").alias("n_linked"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
@@ -79,7 +127,8 @@ def format_chat(conversations: DataFrame) -> DataFrame:
 
     In the order of (conv_id, thread, turn) every conversation is reply-ordered: a message comes after the one that it
     answers and within its thread. thread is the turn of the thread's first message; without a link it is the message's
-    own, and reply_to is null. n_quotes counts distinct quoted passages, n_linked distinct originals. formatted is
+    own, and reply_to is null. n_quotes counts distinct quoted passages, n_linked distinct originals. Quoted text is
+    linked down to whole lines; a part of a line is not. formatted is
     ``<|role|>`` and the text without quotes. Null text is empty; a null role is "user". A null turn or conv_id links
     nothing. Messages that repeat a turn share its links; each stays a row. Other columns are dropped. An empty table
     gives an empty result.
@@ -89,4 +138,4 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     linked = links.join(thread_roots(links), ["conv_id", "turn"])
     out = messages.join(linked, ["conv_id", "turn"], "left")
     role = F.coalesce("role", F.lit("user"))
-    return out.select("conv_id", "turn", "role", F.coalesce("thread", "turn").alias("thread"), "reply_to", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body", F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body")).alias("formatted"))
+    return out.select("conv_id", "turn", "role", F.coalesce("thread", "turn").alias("thread"), "reply_to", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body", F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body")).alias("formatted"))

@@ -298,6 +298,25 @@ def test_chat_links(spark):
     assert chat.format_chat(frame.limit(0)).count() == 0
 
 
+def test_chat_links_parts_and_quotes_of_quotes(spark):
+    talk = [
+        (1, 1, "first one\nfirst two\n\nsecond part"), (1, 2, "> first two\nto a line"), (1, 3, "> first one\n> first two\nto a paragraph"),
+        (1, 4, "> first one\n> first two\nyes\n> second part\nno"), (1, 5, "top\n> second part\nbottom"), (1, 6, "> top\n>> second part\n> bottom\nto all of it"),
+        (1, 7, "> yes\n>> second part\n\n> no\nto two answers"), (1, 8, "> first one\n> first two\n\n> second part\nblank line without a mark"),
+        (1, 9, "> first\npart of a line"), (1, 10, "common\nlast words"), (1, 11, "> common"), (1, 12, "common"), (1, 13, "> common\nwhole first"),
+        (2, 1, "> first two"), (2, 2, "one"), (2, 3, "two"), (2, 4, "> one\nA\n> two\nB"), (2, 4, "> two"), (2, 5, "> \n>>\n\n>"),
+    ]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in talk], "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(frame).collect()
+    assert len(got) == len(talk)
+    reply = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"]) for r in got}
+    assert [reply[1, t] for t in range(1, 10)] == [(None, 0), (1, 1), (1, 1), (1, 1), (1, 1), (5, 2), (4, 2), (1, 1), (None, 0)]
+    assert [reply[1, t] for t in (11, 13)] == [(10, 1), (12, 1)]
+    assert [reply[2, t] for t in (1, 4, 5)] == [(None, 0), (3, 2), (None, 0)]
+    row = {r["turn"]: r for r in got if r["conv_id"] == 1}
+    assert row[6]["thread"] == 1 and (row[4]["body"], row[6]["n_quotes"], row[8]["n_quotes"]) == ("yes\nno", 3, 1)
+
+
 def brute_fingerprint(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
     if not w:
