@@ -2,12 +2,15 @@
 
 A notice of L characters may differ by k = L // 10 edits. Cut into k + 1 pieces, one piece at least is untouched
 (pigeonhole), so an Aho-Corasick scan for all pieces finds every place where a notice may stand; the regex library's
-bounded-error matching then verifies the window around each such place and reports span and edits.
+bounded-error matching then verifies the window around each such place and reports span and edits. The words that tell
+licenses apart have a bound of their own (KEYS), so that no other license's name passes for an edit.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +33,9 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: Words that must stand in the text as words of their own, with one edit at most from KEY_EDIT letters on, else with none.
+KEYS = set("gnu general lesser affero apache mit hereby granted free source binary without mozilla public creative commons attribution copy modify distribute any unencumbered".split())
+KEY_EDIT = 6
 SCHEMA_NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label: string, first: int, end: int, edits: int>>"
 
@@ -45,6 +51,23 @@ def pieces(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def keyed(notice: str) -> str:
+    """A pattern of the notice with its KEYS bounded one by one; its edits in all are for the caller to bound."""
+    out, rest = "", ""
+
+    def fuzzy(x: str) -> str:
+        return f"(?:{x}){{e<={allowed(notice)}}}" if x else ""
+
+    for i, word in enumerate(notice.split()):
+        rest += " " if i else ""
+        if word in KEYS:
+            out += fuzzy(rest) + rf"(?<![^ ])(?:{word}){'{e<=1}' if len(word) >= KEY_EDIT else ''}(?![^ ])"
+            rest = ""
+        else:
+            rest += word
+    return out + fuzzy(rest)
+
+
 def base_places(tokens: list[bytes], spaced: bytes) -> list[tuple[int, str]]:
     """(word index, label) of every place of a phrase; ``spaced``: the words with one space before, between and after."""
     found = []
@@ -60,7 +83,8 @@ class Scanner:
         import ahocorasick
         import regex
 
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={allowed(notice)}}}") for _, notice in NOTICES]
+        self.bounded = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={allowed(notice)}}}") for _, notice in NOTICES]
+        self.keyed = [regex.compile(f"(?b){keyed(notice)}") for _, notice in NOTICES]
         held: dict[str, list[tuple[int, int]]] = {}
         for i, (_, notice) in enumerate(NOTICES):
             for offset, piece in pieces(notice):
@@ -70,32 +94,53 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), places))
         self.seeds.make_automaton()
 
-    def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """Places that may hold a notice, merged where they overlap."""
-        found: dict[int, list[list[int]]] = {}
+    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """Places that may hold a notice; each is whole in one of them, and none is wide enough for two."""
+        found: dict[int, set[int]] = {}
         for last, (length, places) in self.seeds.iter(text):
             for i, offset in places:
-                notice = NOTICES[i][1]
-                start = last + 1 - length - offset
-                found.setdefault(i, []).append([max(0, start - allowed(notice)), start + len(notice) + allowed(notice)])
-        for i, spans in found.items():
-            spans.sort()
-            merged = [spans[0]]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
+                found.setdefault(i, set()).add(last + 1 - length - offset)
+        out = {}
+        for i, starts in found.items():
+            n, k = len(NOTICES[i][1]), allowed(NOTICES[i][1])
+            merged: list[list[int]] = []
+            for s in sorted(starts):
+                if merged and s - merged[-1][0] <= n // 4:
+                    merged[-1][1] = s
                 else:
-                    merged.append([a, b])
-            found[i] = merged
-        return found
-
-    def spans(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, first and end character of the normalised text, edits) of the best match in each window."""
+                    merged.append([s, s])
+            out[i] = [(max(0, a - k), b + n + k) for a, b in merged]
+        return out
+
+    def best(self, i: int, text: str, a: int, b: int) -> tuple[int, int, int, int, int] | None:
+        """(edits, first, end, a, b) of the notice's best match in text[a:b]."""
+        part = text[a:b]
+        # Searched in the text itself: a part may begin within a word, which the lookbehind must see.
+        if not self.bounded[i].search(part) or not (m := self.keyed[i].search(text, a, min(b, len(text)))):
+            return None
+        edits = sum(m.fuzzy_counts)
+        return (edits, m.start(), m.end(), a, b) if edits <= allowed(NOTICES[i][1]) else None
+
+    def spans(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """(label, first and end character of the normalised text, edits, notice's length): the matches of each notice that don't overlap better ones."""
         found = []
         for i, windows in sorted(self.windows(text).items()):
-            for a, b in windows:
-                if m := self.patterns[i].search(text[a:b]):
-                    found.append((NOTICES[i][0], a + m.start(), a + m.end(), sum(m.fuzzy_counts), len(NOTICES[i][1])))
+            label, notice = NOTICES[i]
+            heap = [m for a, b in windows if (m := self.best(i, text, a, b))]
+            heapify(heap)
+            taken: list[tuple[int, int, int]] = []
+            while heap:
+                edits, first, end, a, b = heappop(heap)
+                at = bisect_left(taken, (first,))
+                near = [t for t in taken[max(0, at - 1) : at + 1] if t[0] < end and first < t[1]]
+                if not near:
+                    insort(taken, (first, end, edits))
+                    continue
+                # What is left of the window beside the better match may hold another one.
+                for c, d in ((a, near[0][0]), (near[0][1], b)):
+                    if d - c >= len(notice) - allowed(notice) and (m := self.best(i, text, c, d)):
+                        heappush(heap, m)
+            found += [(label, *t, len(notice)) for t in taken]
         return found
 
 

@@ -215,6 +215,26 @@ def test_license_places_by_brute_force(spark, edge, docs):
     assert row["labels"] == ["mit"] and row["n_base"] == 0 and row["spans"][0]["edits"] == 3 and 0 < row["score"] < 1
 
 
+def test_near_miss_licenses_and_repeated_notices(spark):
+    scanner = license_scan.Scanner()
+    for other in ("bsd", "gpl", "isc", "epl", "w3c", "zlib", "permit", "mitre"):
+        assert scanner.spans(f"released under the {other} license") == []
+    gnu = "under the terms of the gnu {} general public license".format
+    assert [x[0] for x in scanner.spans(gnu("affero"))] == ["agpl"] and [x[0] for x in scanner.spans(gnu("lesser"))] == ["lgpl"] and scanner.spans(gnu("library")) == []
+    assert scanner.spans("permission to use copy and or distribute this software for any purpose") == []
+    for label, notice in license_scan.NOTICES:
+        typo = notice[:1] + notice[2:]
+        for a, b in ((notice, notice), (typo, notice), (notice, typo), (typo, typo)):
+            n = len(a) + 1
+            got = sorted({x[1:4] for x in scanner.spans(f"{a} {b}") if x[0] == label and x[4] == len(notice)})
+            assert [(x, y) for x, y, _ in got] == [(0, len(a)), (n, n + len(b))] and [e for *_, e in got] == [int(a is typo), int(b is typo)]
+    many = " ".join(["any person obtaining", "released under the mit license"] * 200)
+    assert len([x for x in scanner.spans(many) if x[0] == "mit" and x[3] == 0]) == 200
+    rows = spark.createDataFrame([(1, "Released under the BSD license"), (2, "Released under the MIT License. Released under the MIT license!")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(rows).collect()}
+    assert (got[1]["labels"], got[1]["score"]) == ([], 0.0) and [(x["first"], x["end"]) for x in got[2]["spans"]] == [(0, 30), (31, 61)]
+
+
 def test_toxicity(spark, edge):
     big = "/root/testdata/sf0.01"
     marked = spark.read.parquet(f"{big}/labels.parquet")
