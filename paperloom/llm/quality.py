@@ -31,10 +31,10 @@ EDGE, OTHER = 0, KINDS - 1
 #: Numbers of words: 0 stands before and after a text, frequent words follow, then the classes of all others.
 NUMBERS, RARE = 1 << 16, 1 << 13
 KNOWN = NUMBERS - RARE
-#: Words of so many bytes or more are never numbered, and are counted by a digest.
+#: Words of so many bytes or more are never numbered.
 LONGEST = 64
 #: Words of the trusted text (and different pairs, at most) that a shard is meant for; words that a task packs at once;
-#: bytes of sums that it holds.
+#: bytes of sums, or of different words, that it holds.
 PER_SHARD, PACKED, HELD = 500_000, 2_000_000, 32 << 20
 #: Fixed-point scale of log-probabilities: sums don't depend on their order.
 SCALE = 1 << 20
@@ -201,19 +201,18 @@ def split(text: bytes) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(text, n): the words of all of ``docs``; a word of LONGEST bytes or more counts as its first LONGEST - 8 and a digest."""
+    """(text, n): the words of all of ``docs``, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            words = [w if len(w) < LONGEST else w[: LONGEST - 8] + b"%08x" % zlib.crc32(w) for w in held]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["text", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["text", "n"])
 
         for batch in small_batches(batches):
             for text in text_bytes(batch.column(0)):
                 held.update(split(text))
-            if len(held) > 300_000:
+            if len(held) > 300_000 or sum(map(len, held)) > HELD:
                 yield out()
                 held.clear()
         yield out()

@@ -148,6 +148,21 @@ def test_word_pairs_by_brute_force(spark):
         assert got[i]["n_symbols"] == len(b" ".join(w)) + 1
 
 
+def test_long_words_are_trained_whole(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HELD", 1000)  # several batches of words a task
+    runs = ["這是一段沒有空格的中文文本" * 9, "這是一段沒有空格的中文文本" * 9 + "結尾不同", "x" * 60 + "token/with/a/tail?of=it&more", "ประโยคภาษาไทยยาวไม่มีช่องว่าง" * 5]
+    texts = [f"short words {r} end" for r in runs] * 2 + [None, "", "z" * (quality.LONGEST - 1), "z" * quality.LONGEST]
+    words = {w for t in texts if t for w in quality.split(t.encode())}
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
+    counted = {bytes(r["text"]): r["n"] for r in quality.word_counts(frame(texts).repartition(3)).collect()}
+    assert counted == Counter(w for t in texts if t for w in quality.split(t.encode()))
+    known, (table, shards, rest), *_ = quality.train_words(frame(texts))
+    assert set(known) == {w for w in words if len(w) < quality.LONGEST}
+    whole = quality.train(frame(sorted(w.decode() for w in words)), frame(sorted(w.decode() for w in words)))
+    got, want = quality.Scorer(table, shards, rest), quality.Scorer(*whole)
+    assert table == whole[0] and np.allclose(got.logp, want.logp)
+
+
 def test_packed_pairs():
     rng = np.random.default_rng(3)
     pair = np.unique(rng.integers(0, 1 << 32, 5000, dtype=np.uint64))
