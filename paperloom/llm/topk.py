@@ -31,6 +31,8 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of ``width`` components, and which rows have that width."""
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    # Offsets of a slice count from its batch's start, the flattened values from its own.
+    ends = ends - ends[0]
     fits = np.diff(ends) == width
     if fits.all():
         return flat.reshape(-1, width), fits

@@ -408,6 +408,18 @@ def test_top_k_edges(spark):
     assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_with_an_odd_length_among_many_rows(spark):
+    rows = [(i, [float(i * 37 % 101), float(i % 7)] if i not in (1500, 2100) else [] if i == 1500 else [1.0, 2.0, 3.0]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = topk.top_k(v, v.where("vec_id in (7, 2500)"))
+    ok = {i: [int(64 * y) for y in x] for i, x in rows if len(x) == 2}
+    want = []
+    for q in (7, 2500):
+        scored = sorted((-sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), c) for c in ok if c != q)[:20]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(scored, 1)]
+    assert rows_of(got, ["query_id", "rank", "vec_id", "score"]) == sorted(want, key=repr)
+
+
 def test_pipeline_by_brute_force(spark, docs, labels):
     import corpus_pipeline
 
