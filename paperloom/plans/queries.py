@@ -316,6 +316,13 @@ def page_blocks(spark, sf_dir):
     return pages.select("page_id", F.explode(html.blocks(F.col("html"))).alias("b")).select("page_id", "b.tag", "b.text").where("tag = 'p'")
 
 
+@query()
+def page_blocks_all(spark, sf_dir):
+    """Paragraphs, headings and divisions in their order; page_blocks are its paragraphs, as far as its one-tag SQL goes."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.posexplode(html.blocks(F.col("html"))).alias("part", "b")).select("page_id", "part", "b.tag", "b.content_html", "b.text")
+
+
 MATH_PAGES = "select p_partkey, concat('<p>', p_name, '<script type=\"math/tex\">x_', p_size, ' </script></p><script type=\"math/tex; mode=display\"> y^', p_size, '</script><script>var a</script>') as html from part"
 
 
