@@ -29,7 +29,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs)
+    return sharding.shard_documents(docs, map_path=spark.conf.get(sharding.MAP_SETTING, None))
 
 
 STAGES = [

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS = 4096
+#: The setting that names the stored map of the registered queries; without it each run starts from a new one.
+MAP_SETTING = "spark.paperloom.shard.map"
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -84,6 +87,27 @@ class SlotMap:
         return SlotMap(version, tuple(r["shard"] for r in rows), rows[0]["shards"])
 
 
+def stored_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The latest version at ``path``, if there is one."""
+    try:
+        return SlotMap.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def next_map(older: SlotMap | None, sizes: dict[int, int], shards: int, slots: int) -> SlotMap:
+    """The version after ``older`` (or after the initial one): grown to ``shards``, then rebalanced."""
+    placed = older or SlotMap.initial(shards, slots)
+    if len(placed.shard_of) != slots or placed.shards > shards:
+        raise ValueError(f"the stored map has {placed.shards} shards of {len(placed.shard_of)} slots: neither can be made {shards} of {slots}")
+    whole = {s: sizes.get(s, 0) for s in range(slots)}
+    while placed.shards < shards:
+        placed = placed.grown(whole)
+    return placed.rebalanced(sizes)
+
+
 def slot_sizes(sized: DataFrame) -> dict[int, int]:
     """Bytes per virtual slot: at most as many rows as there are slots."""
     return {r["vslot"]: r["bytes"] for r in sized.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
@@ -94,18 +118,24 @@ def text_size(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """``docs`` with size, vslot, shard, slot (a record's place in its shard, gapless from 0) and map_version.
 
     Shards have nearly equal bytes. The virtual slot depends on doc_id, text and nothing else, so rows that repeat go
     together and equal ids with unlike texts apart; a null doc_id or text hashes like any other value. Places are
     numbered by doc_id, then text hash, within a virtual slot, after the rows of the shard's earlier virtual slots: no
     task holds a whole shard. Clashing column names are replaced; an empty table gives an empty result.
+
+    ``map_path``: the latest map stored there is edited, and the next version stored, when this is called; only slots
+    that the edit moves change their shard. A stored map may gain shards, but not lose any. One run at a time may use
+    a path. Without it, or at a path without a map, the edit is of the initial map.
     """
     sized = docs.drop("size", "vslot", "shard", "slot", "map_version").withColumns({"size": text_size(), "_hash": F.xxhash64("text")})
     sized = sized.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(slots)).cast("int"))
     counted = {r["vslot"]: (r["bytes"], r["n"]) for r in sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    placed = SlotMap.initial(shards, slots).rebalanced({s: b for s, (b, _) in counted.items()})
+    placed = next_map(stored_map(docs.sparkSession, map_path) if map_path else None, {s: b for s, (b, _) in counted.items()}, shards, slots)
+    if map_path:
+        placed.save(docs.sparkSession, map_path)
     before, seen = [0] * slots, [0] * shards
     for slot in range(slots):
         before[slot] = seen[placed.shard_of[slot]]

@@ -290,6 +290,25 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.SlotMap.load(spark, f"{tmp_path}/map") == even and sharding.SlotMap.load(spark, f"{tmp_path}/map", 0) == first
 
 
+def test_stored_map_is_edited(spark, docs, tmp_path):
+    path = f"{tmp_path}/map"
+    few = docs.select("doc_id", "text").where("doc_id % 3 > 0")
+    grown = docs.select("doc_id", "text").unionByName(spark.range(200).select((F.col("id") + 90_000).alias("doc_id"), F.repeat(F.lit("new words "), (F.col("id") % 40).cast("int")).alias("text")))
+    first = {r["doc_id"]: r for r in sharding.shard_documents(few, 4, 64, path).collect()}
+    second = sharding.shard_documents(grown, 4, 64, path).collect()
+    old, new = (sharding.SlotMap.load(spark, path, v) for v in (1, 2))
+    sizes = Counter()
+    for r in second:
+        sizes[r["vslot"]] += r["size"]
+    assert new == old.rebalanced(sizes) and new != sharding.SlotMap(2, sharding.SlotMap.initial(4, 64).rebalanced(sizes).shard_of, 4)
+    moved = set(new.moved(old))
+    assert {r["map_version"] for r in first.values()} == {1} and {r["map_version"] for r in second} == {2}
+    assert all((r["shard"] != first[r["doc_id"]]["shard"]) == (r["vslot"] in moved) for r in second if r["doc_id"] in first)
+    assert {r["shard"] for r in sharding.shard_documents(grown, 5, 64, path).collect()} == set(range(5))
+    with pytest.raises(ValueError, match="5 shards"):
+        sharding.shard_documents(grown, 4, 64, path)
+
+
 def test_mixing(spark, edge, docs):
     both = docs.select("doc_id", "text", "source").unionByName(edge.select("doc_id", "text", "source"))
     out = mixing.mix(clashing(both, "target"))
