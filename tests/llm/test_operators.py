@@ -251,10 +251,15 @@ def test_near_miss_licenses_and_repeated_notices(spark):
 
 
 def test_toxicity(spark, edge):
-    big = "/root/testdata/sf0.01"
+    big = "/root/testdata/sf0.1"
     marked = spark.read.parquet(f"{big}/labels.parquet")
-    found = toxicity.score_toxicity(spark.read.parquet(f"{big}/documents.parquet"), marked).join(marked, "doc_id").where("held_out").collect()
-    assert np.mean([r["predicted"] == r["toxic"] for r in found]) > 0.9
+    documents = spark.read.parquet(f"{big}/documents.parquet")
+    found = toxicity.score_toxicity(documents, marked).join(marked, "doc_id").join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    hit = Counter((r["lang"], r["toxic"], r["predicted"]) for r in found)
+    for lang in ("de", "en", "es", "fr"):  # recall and precision of documents whose labels were never seen
+        assert hit[lang, 1, 1] >= 0.85 * (hit[lang, 1, 0] + hit[lang, 1, 1]) and hit[lang, 0, 1] <= 0.05 * hit[lang, 0, 0]
+    caught, missed, false = (sum(n for (_, t, p), n in hit.items() if (t, p) == x) for x in ((1, 1), (1, 0), (0, 1)))
+    assert caught >= 0.9 * (caught + missed) and caught >= 0.9 * (caught + false)
     none = toxicity.score_toxicity(edge, marked.limit(0))
     assert none.count() == len(EDGE) and none.where("score = 0 and predicted = 0").count() == len(EDGE)
     assert toxicity.score_toxicity(edge.limit(0), marked).count() == 0
@@ -262,6 +267,29 @@ def test_toxicity(spark, edge):
     assert kept.count() == len(EDGE) and kept.columns == [*edge.columns, "features", "score"]
 
 
+def test_toxicity_of_repeated_long_and_null_rows(spark):
+    rows = [(i, f"you {'dreck' if i % 3 == 0 else 'pretty'}sack word{i % 11} and more {i}") for i in range(400)]
+    marked = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    extra = [(None, rows[3][1]), (None, None), (7, rows[7][1]), (900, "plain words " * 500_000 + "drecksack"), (901, "!!!??? D.r.e.c.k")]
+    frame = spark.createDataFrame(rows + extra, "doc_id long, text string").coalesce(1)
+    scored = toxicity.score_toxicity(frame, marked).collect()
+    assert len(scored) == len(rows) + len(extra) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scored)
+    assert all(r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in scored)
+    assert all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in scored if r["doc_id"] is not None and r["doc_id"] < 400)
+    assert len({r["score"] for r in scored if r["doc_id"] == 7}) == 1
+
+
+def test_lexicons_by_brute_force(spark):
+    texts = [(2 + i % 3, float(i % 4 == 0), f"{'Grob' if i % 4 == 0 else 'fein'}heit{i % 5} the same, wörter{i % 7} ß") for i in range(120)]
+    got = toxicity.learn_lexicons(spark.createDataFrame(texts, "fold int, label double, text string").repartition(3), (2, 3, 4))
+    for out in (0, 2, 3, 4):
+        used = [(label, toxicity.entries(t.encode())) for f, label, t in texts if f != out]
+        n = Counter(label for label, _ in used)
+        bad, other = (Counter(e for label, found in used if label == x for e in found) for x in (1.0, 0.0))
+        assert got[out] == toxicity.lexicon_weights([(e, bad[e], other[e]) for e in bad], n[1.0], n[0.0])
+        assert got[out] and all(e.startswith(b" gro") for e in got[out])
+
+
 def test_sharding(spark, edge, docs):
     both = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
     out = sharding.shard_documents(both)
