@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.text import bring_back, set_aside
 from paperloom.session import shared_folder, written
 
 BLANKS = " \t\n\x0b\f\r"
@@ -103,6 +104,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     count once, and all rows with the largest doc_id keep a line. A null doc_id is never the keeper, unless all are
     null: then nothing is dropped. An empty table gives an empty result.
     """
+    new = ["n_lines", "n_dropped", "kept_text"]
+    docs, names = set_aside(docs, ["doc_id", "text"], new)
     lines = written(lines_of(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "lines")
     store = LineRuns(docs.sparkSession, fanout=fanout, min_docs=min_docs)
     for batch in range(batches):
@@ -111,13 +114,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     hits = found.where(~F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
     dropped = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_dropped")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_dropped")
     text = F.coalesce("text", F.lit(""))
-    joined = docs.drop("n_lines", "n_dropped", "kept_text").withColumn("_text_hash", F.xxhash64(text)).join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    joined = docs.withColumn("_text_hash", F.xxhash64(text)).join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
     all_lines = F.split(text, "\n")
     # Looking up positions in a map keeps long documents linear.
     gone = F.map_from_arrays("_dropped", F.array_repeat(F.lit(True), F.size("_dropped")))
     kept = F.filter(all_lines, lambda line, i: F.element_at(gone, i).isNull())
-    return joined.withColumns({
+    joined = joined.withColumns({
         "n_lines": F.size(all_lines).cast("long"),
         "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
         "kept_text": F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(kept, "\n")),
-    }).drop("_text_hash", "_doc", "_hash", "_dropped")
+    })
+    return bring_back(joined, names, new)

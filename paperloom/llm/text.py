@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A-Z to lower case; everything outside 0-9, a-z and non-ASCII bytes to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -39,3 +41,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def set_aside(docs: DataFrame, own: list[str], replaced: list[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``own`` under names that no operator uses, without ``replaced``; and the names' meaning."""
+    columns = [c for c in docs.columns if c not in replaced]
+    names = {c if c in own else f"_carried_{i}": c for i, c in enumerate(columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items())), names
+
+
+def bring_back(df: DataFrame, names: dict[str, str], new: list[str] = ()) -> DataFrame:
+    """The columns that set_aside renamed, under their own names again, and ``new`` ones."""
+    return df.select(*(F.col(k).alias(c) for k, c in names.items()), *new)
