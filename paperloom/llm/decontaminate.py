@@ -16,69 +16,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.text import small_batches, text_bytes, words
+from paperloom.llm.text import bring_back, set_aside, small_batches, text_bytes, words
+from paperloom.session import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Odd multiplier of the window hash.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes of the benchmark in one broadcast.
 BLOCK_BYTES = 8 << 20
-
-
-def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    n = len(ids) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(width if n > 0 else 0):
-        out = out * FACTOR + ids[k : k + n].astype(np.uint64)
-    return out
+#: Blocks whose windows are held by a task at once; the hits so far are written between so many.
+CHAINED = 4
 
 
 class WindowSet:
-    """The windows of a block of benchmark items, by width: sorted hashes, ids, and the items of each distinct window."""
+    """The windows of a block of benchmark items, by width: sorted hashes, where each distinct window stands, and its items.
+
+    All parts are arrays (about 24 bytes a benchmark word), so that a broadcast is a small multiple of the block's text.
+    """
 
     def __init__(self, items: list[tuple[object, bytes]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).update([] if item is None else [str(item)])
+        self.names = [None if item is None else str(item) for item, _ in items]
+        rows = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32) for _, text in items]
+        self.ids = np.concatenate([*rows, np.zeros(0, np.int32)])
+        sizes = np.array([len(r) for r in rows], np.int64)
+        offsets, widths = np.cumsum(sizes) - sizes, np.minimum(sizes, width)
         self.widths = {}
-        for n, windows in found.items():
-            ids = np.array(list(windows), np.int64)
-            h = np.array([_hashes(row, n)[0] for row in ids], np.uint64)
+        for n in np.unique(widths[widths > 0]).tolist():
+            own = np.flatnonzero(widths == n)
+            count = sizes[own] - n + 1
+            owner = np.repeat(own, count)
+            start = np.repeat(offsets[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            _, first, same = np.unique(self.ids[start[:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True)
+            held = np.unique(np.stack((same.reshape(-1), owner), 1), axis=0)
+            h = self._hashes(start[first], n)
             order = np.argsort(h, kind="stable")
-            names = list(windows.values())
-            self.widths[n] = (h[order], ids[order], [sorted(names[i]) for i in order])
+            left, right = np.searchsorted(held[:, 0], order, "left"), np.searchsorted(held[:, 0], order, "right")
+            self.widths[n] = (h[order], start[first][order].astype(np.int32), left.astype(np.int32), right.astype(np.int32), held[:, 1].astype(np.int32))
+
+    def _hashes(self, start: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        for k in range(n):
+            out = out * FACTOR + self.ids[start + k].astype(np.uint64)
+        return out
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, width, items) of each window that occurs in ``ids``."""
-        known = ids != 0
-        for n, (h, rows, names) in self.widths.items():
+        runs = np.concatenate(([0], np.cumsum(ids != 0)))
+        for n, (h, start, low, high, owners) in self.widths.items():
             if len(ids) < n:
                 continue
-            runs = np.concatenate(([0], np.cumsum(known)))
             places = np.flatnonzero(runs[n:] - runs[:-n] == n)  # every word is a benchmark word
             if not len(places):
                 continue
-            window = ids[places[:, None] + np.arange(n)]
             own = np.zeros(len(places), np.uint64)
             for k in range(n):
-                own = own * FACTOR + window[:, k].astype(np.uint64)
+                own = own * FACTOR + ids[places + k].astype(np.uint64)
             left, right = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
             for i in np.flatnonzero(left < right):
+                window = ids[places[i] : places[i] + n]
                 for j in range(left[i], right[i]):  # more than one only where hashes collide
-                    if np.array_equal(rows[j], window[i]):
-                        yield int(places[i]), n, names[j]
+                    if np.array_equal(self.ids[start[j] : start[j] + n], window):
+                        yield int(places[i]), n, [self.names[x] for x in owners[low[j] : high[j]] if self.names[x] is not None]
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[object, bytes]]]:
-    """The distinct items in blocks whose texts have about ``limit`` bytes, by an exact sum of their sizes."""
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[object, bytes]], bool]]:
+    """The distinct items, a block at a time and whether it is the last, dealt so that a block's texts have about ``limit`` bytes."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-total // limit)
-    return [[(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()] for i in range(n)]
+    n = max(1, -(-total // limit))
+    for i in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+        yield [(r[0], r[1].encode()) for r in rows], i == n - 1
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, remove_spans: bool = False) -> DataFrame:
@@ -90,8 +99,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     listed. Columns of ``docs`` are carried; clashing names are replaced. Empty tables give no hits, or no rows.
     """
     new = ["n_words", "n_hit", "items"] + ["clean_text"] * remove_spans
-    docs = docs.drop(*new)
-    blocks = _blocks(benchmark, block_bytes) or [[]]
+    docs, names = set_aside(docs, ["text"], new)
     sc = docs.sparkSession.sparkContext
     held = "n_words long, n_hit long, items array<string>" + ", clean_text string" * remove_spans
 
@@ -132,10 +140,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
 
     docs_names = docs.columns
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        docs = docs.mapInArrow(scan(sc.broadcast(WindowSet(block, width)), last), f"{carried}, " + (held if last else "_hits array<struct<first: int, n: int, items: array<string>>>"))
-    return docs
+    for i, (block, last) in enumerate(_blocks(benchmark, block_bytes)):
+        windows = sc.broadcast(WindowSet(block, width))
+        docs = docs.mapInArrow(scan(windows, last), f"{carried}, " + (held if last else "_hits array<struct<first: int, n: int, items: array<string>>>"))
+        if not last and i % CHAINED == CHAINED - 1:
+            docs = written(docs, "hits")
+    return bring_back(docs, names, new)
 
 
 HITS = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("items", pa.list_(pa.string()))]))
@@ -153,11 +163,11 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = 10) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with the hit passages cut from their texts."""
-    columns = docs.columns
+    docs, names = set_aside(docs, ["text"])
+    found = find_benchmark(docs, benchmark, width, remove_spans=remove == "spans")
     if remove == "spans":
-        return find_benchmark(docs, benchmark, width, remove_spans=True).withColumn("text", F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col("text"))).select(*columns)
-    found = find_benchmark(docs.select("*", *[F.col(c).alias(f"_{c}") for c in columns if c in ("n_words", "n_hit", "items")]), benchmark, width)
-    return found.where(F.col("n_hit") == 0).select(*[F.col(f"_{c}" if c in ("n_words", "n_hit", "items") else c).alias(c) for c in columns])
+        return bring_back(found.withColumn("text", F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col("text"))), names)
+    return bring_back(found.where(F.col("n_hit") == 0), names)
 
 
 def items_digest(items: list[str]) -> str:
