@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.text import small_batches, text_bytes
+from paperloom.llm.text import bring_back, set_aside, small_batches, text_bytes
 from paperloom.session import written
 
 #: Fingerprints of the sample that the top tree is built from.
@@ -49,14 +49,18 @@ def fingerprint(text: bytes, width: int = 3, chunk: int = 1 << 15) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash) with the fingerprint as a signed long and a hash that tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = np.array([fingerprint(x) for x in text_bytes(batch.column(batch.schema.get_field_index("text")))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(1)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, text_hash long")
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 class TopTree:
@@ -180,27 +184,31 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, shard: int = SHARD) -> Da
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, component): for each linked fp, the smallest ``first_doc`` of ``nodes`` (fp, first_doc) that it reaches.
+    """(fp, component): for each linked fp, the smallest (first_doc, fp) of ``nodes`` that it reaches.
 
-    Rounds of taking the smallest label over links, then the label's own label; each is written, and they end when none changes.
+    Rounds of taking the smallest label over links, then the label of the fingerprint that this one names; each is
+    written, and they end when none changes.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.select(F.col("a").alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first_doc").alias("label")), "labels")
-    # Labels are documents; the fingerprint whose first document it is stands for each.
-    names = labels.select(F.col("label").alias("first"), F.col("fp").alias("named"))
-    names = written(names, "names")
+    labels = written(both.select(F.col("a").alias("fp")).distinct().join(nodes, "fp").select("fp", F.struct("first_doc", F.col("fp").alias("root")).alias("label")), "labels")
     while True:
         spread = both.join(labels, both["a"] == labels["fp"]).groupBy(F.col("b").alias("fp")).agg(F.min("label").alias("near"))
-        lower = labels.join(spread, "fp").select("fp", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        lower = written(lower, "lower")
-        # Pointer jumping: the label of the fingerprint that the label stands for.
-        jumped = lower.join(names, F.col("next") == F.col("first")).select("fp", "old", "next", "named").alias("x").join(lower.select(F.col("fp").alias("named"), F.col("next").alias("further")).alias("y"), "named")
-        step = written(jumped.select("fp", "old", F.least("next", "further").alias("label")), "step")
+        lower = written(labels.join(spread, "fp").select("fp", F.least("label", "near").alias("next"), F.col("label").alias("old")), "lower")
+        further = lower.select(F.col("fp").alias("named"), F.col("next").alias("further"))
+        step = written(lower.join(further, F.col("next.root") == F.col("named")).select("fp", "old", F.least("next", "further").alias("label")), "step")
         labels = step.select("fp", "label")
         if step.where("label < old").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")
 
 
+def with_components(printed: DataFrame, radius: int, shard: int) -> DataFrame:
+    """``printed`` (doc_id, fp, text_hash) with component_id, the smallest doc_id that its fingerprint reaches, and root, which names the component."""
+    nodes = written(printed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
+    links = written(fingerprint_links(nodes, radius, shard), "shard_links")
+    joined = nodes.join(components(nodes, links), "fp", "left").withColumn("component", F.coalesce("component", F.struct("first_doc", F.col("fp").alias("root"))))
+    return printed.join(joined.select("fp", F.col("component.first_doc").alias("component_id"), "component.root"), "fp", "left")
+
+
 def near_groups(docs: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
@@ -209,15 +217,25 @@ def near_groups(docs: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFra
     apiece, each by its text. Rows with a null doc_id link nothing; they get the component of their fingerprint, null if
     no other document has it. Columns other than doc_id and text aren't read. An empty table gives an empty result.
     """
-    printed = written(with_fingerprints(docs), "fingerprints")
-    nodes = written(printed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    links = written(fingerprint_links(nodes, radius, shard), "shard_links")
-    joined = components(nodes, links)
-    named = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "first_doc").alias("component_id"))
-    return printed.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = with_components(written(with_fingerprints(docs), "fingerprints"), radius, shard)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One document of each group: that of the smallest doc_id (all rows with a null doc_id stay)."""
-    keep = near_groups(docs.select("doc_id", "text"), radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+def drop_near_copies(docs: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
+    """``docs`` with one row of each group: of the rows with its smallest doc_id, that of the smallest text hash.
+
+    Null texts count as empty ones; all empty texts are one group. Of rows alike in doc_id and text, one stays: that of
+    the smallest hash over all columns. All rows with a null doc_id stay. Columns are carried, whatever their names. An
+    empty table gives an empty result.
+    """
+    docs, names = set_aside(docs, ["doc_id", "text"])
+    found = with_components(written(with_fingerprints(docs), "fingerprints"), radius, shard).where("doc_id = component_id")
+    keep = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("first"))
+    keep = written(keep.select("first.*"), "keep")
+    hashed = docs.withColumn("text_hash", text_hash())
+    out = hashed.join(keep.where("n = 1").drop("n"), ["doc_id", "text_hash"], "left_semi").drop("text_hash").unionByName(docs.where("doc_id is null"))
+    if keep.where("n > 1").limit(1).count():
+        several = hashed.join(keep.where("n > 1").drop("n"), ["doc_id", "text_hash"], "left_semi")
+        row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+        out = out.unionByName(several.groupBy("doc_id", "text_hash").agg(row.alias("row")).select("row.*"))
+    return bring_back(out, names)
