@@ -36,6 +36,12 @@ LONGEST = 64
 #: Words of the trusted text (and different pairs, at most) that a shard is meant for; words that a task packs at once;
 #: bytes of sums, or of different words, that it holds.
 PER_SHARD, PACKED, HELD = 500_000, 2_000_000, 32 << 20
+#: Share of a count that a discount takes at least, where the counts of counts would give less.
+LEAST_CUT = 0.05
+#: One in so many trusted documents is kept from training: the thresholds are taken from these.
+HELD_OUT = 5
+#: Documents that a language needs for a threshold of its own alone.
+FEW = 40
 #: Fixed-point scale of log-probabilities: sums don't depend on their order.
 SCALE = 1 << 20
 #: Trusted ids that are broadcast at most; more are joined by merge.
@@ -116,8 +122,9 @@ def discounts(counts: DataFrame) -> np.ndarray:
 
 def discounts_from(n: list[int]) -> np.ndarray:
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    d = [0.0] + [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i for i in (1, 2, 3)]
-    return np.clip(d, 0, [0, 1, 2, 3])
+    d = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i for i in (1, 2, 3)]
+    # Any seen context must free some mass, or unseen words would have no probability: a count of i gives LEAST_CUT * i at least.
+    return np.array([0.0, *np.clip(d, [LEAST_CUT, 2 * LEAST_CUT, 3 * LEAST_CUT], [1, 2, 3])])
 
 
 def interpolated(counts: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -386,6 +393,8 @@ def perplexities(docs: DataFrame, model: tuple[list[bytes], tuple, DataFrame, in
             pair, doc = words.pairs(texts)
             rare = [[w for w in t if w not in words.number] for t in texts]
             spelt = scorer.spell([w for t in rare for w in t]) + np.log(RARE)
+            if not np.isfinite(spelt).all():
+                raise ValueError("a word has no spelling probability")
             total = np.bincount(np.repeat(np.arange(len(rare)), [len(t) for t in rare]), np.rint(spelt * SCALE), len(rare)).astype(np.int64)
             size = np.array([sum(map(len, t)) + max(len(t), 1) for t in texts], np.int64)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
@@ -441,6 +450,8 @@ def perplexities(docs: DataFrame, model: tuple[list[bytes], tuple, DataFrame, in
         for at, value in parts:
             np.add.at(total, at, value)
         size, total = head.column("size").to_numpy(), total / SCALE
+        if not np.isfinite(total).all() or (total > 0).any():
+            raise ValueError("a document has no proper probability")
         arrays = [*(head.column(i).combine_chunks() for i in range(len(names))), pa.array(size, pa.int64()), pa.array(total), pa.array(np.exp(-total / size))]
         yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_symbols", "log_prob", "perplexity"])
 
@@ -452,34 +463,43 @@ def perplexities(docs: DataFrame, model: tuple[list[bytes], tuple, DataFrame, in
 
 
 def language_thresholds(scored: DataFrame, quantile: float, slack: float, step: float = 1e-3) -> DataFrame:
-    """(lang, threshold): ``slack`` times the perplexity at ``quantile`` of the trusted documents of each language.
+    """(lang, threshold): ``slack`` times the perplexity at ``quantile`` of the documents of each language marked ``sets_threshold``.
 
     Log-perplexities are counted in steps of ``step``, so that the exact quantile of any number of documents comes from
-    some thousand counts a language. A language without trusted documents has the threshold of all together.
+    some thousand counts a language. A language without such documents has the threshold of all together; one with
+    fewer than FEW has that or its own, whichever is greater.
     """
-    bins = written(scored.where("trusted").groupBy("lang", F.round(F.log("perplexity") / step).cast("long").alias("bin")).agg(F.count("*").alias("n")), "bins")
+    bins = written(scored.where("sets_threshold").groupBy("lang", F.round(F.log("perplexity") / step).cast("long").alias("bin")).agg(F.count("*").alias("n")), "bins")
 
     def at(table: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by)
         upto = table.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-        return upto.where(F.col("upto") >= quantile * F.col("total")).groupBy(*by).agg((F.exp(F.min("bin") * step) * slack).alias("threshold"))
+        return upto.where(F.col("upto") >= quantile * F.col("total")).groupBy(*by).agg((F.exp(F.min("bin") * step) * slack).alias("threshold"), F.max("total").alias("n"))
 
-    return at(bins, "lang"), at(bins.withColumn("every", F.lit(1)), "every").select(F.col("threshold").alias("overall"))
+    overall = at(bins.withColumn("every", F.lit(1)), "every").select(F.col("threshold").alias("overall"))
+    first = overall.first()
+    own = F.when(F.col("n") < FEW, F.greatest("threshold", F.lit(first["overall"] if first else None).cast("double"))).otherwise(F.col("threshold"))
+    return at(bins, "lang").select("lang", own.alias("threshold")), overall
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.6, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.1, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, lang, trusted, n_symbols, log_prob, perplexity, threshold, keep) of every row of ``docs``.
 
-    Trusted are the documents labelled quality 1. Kept are those whose perplexity is no higher than their language's
-    threshold. Null and empty texts have one symbol, their end. Null lang is a language of its own. Without trusted
-    text all words of a length are equally likely, thresholds are null and all are kept. Rows that repeat count apiece; a doc_id
-    with several labels is trusted if any is 1, a null doc_id never. Other columns aren't read.
+    Trusted are the documents labelled quality 1. One in HELD_OUT of them (by a hash of the id) is kept from training
+    and sets the thresholds, as documents score far better under a model that has seen them. Kept are the documents
+    whose perplexity is no higher than their language's threshold. Null and empty texts have one symbol, their end. Null
+    lang is a language of its own. Without trusted text all words of a length are equally likely; without held-out
+    trusted documents thresholds are null and all are kept. Rows that repeat count apiece; a doc_id with several labels
+    is trusted if any is 1, a null doc_id never. Other columns aren't read.
     """
     good = labels.where("quality = 1").select("doc_id").distinct()
-    ids = F.broadcast(good) if good.limit(broadcast_ids + 1).count() <= broadcast_ids else good.hint("merge")
+    held_out = F.pmod(F.xxhash64(F.lit("threshold"), "doc_id"), F.lit(HELD_OUT)) == 0
+    learnt = good.where(~held_out)
+    ids = F.broadcast(learnt) if learnt.limit(broadcast_ids + 1).count() <= broadcast_ids else learnt.hint("merge")
     model = train_words(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"))
     scored = written(perplexities(docs.select("doc_id", "lang", "text"), model), "scored")
     scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    scored = scored.withColumn("sets_threshold", F.col("trusted") & held_out)
     by_lang, overall = language_thresholds(scored, quantile, slack)
     by_lang = written(by_lang.withColumnRenamed("lang", "_lang"), "thresholds")
     overall = overall.first()
