@@ -39,9 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), map_path=spark.conf.get(sharding.MAP_SETTING, None))
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+    # The digest is taken where texts are read, so that rows are numbered without moving texts.
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    out = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", crc), map_path=spark.conf.get(sharding.MAP_SETTING, None))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.text import bring_back, set_aside
+
 SLOTS = 4096
 #: The setting that names the stored map of the registered queries; without it each run starts from a new one.
 MAP_SETTING = "spark.paperloom.shard.map"
@@ -130,7 +132,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     that the edit moves change their shard. A stored map may gain shards, but not lose any. One run at a time may use
     a path. Without it, or at a path without a map, the edit is of the initial map.
     """
-    sized = docs.drop("size", "vslot", "shard", "slot", "map_version").withColumns({"size": text_size(), "_hash": F.xxhash64("text")})
+    new = ["size", "vslot", "shard", "slot", "map_version"]
+    docs, names = set_aside(docs, ["doc_id", "text"], new)
+    sized = docs.withColumns({"size": text_size(), "_hash": F.xxhash64("text")})
     sized = sized.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(slots)).cast("int"))
     counted = {r["vslot"]: (r["bytes"], r["n"]) for r in sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     placed = next_map(stored_map(docs.sparkSession, map_path) if map_path else None, {s: b for s, (b, _) in counted.items()}, shards, slots)
@@ -141,4 +145,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
         before[slot] = seen[placed.shard_of[slot]]
         seen[placed.shard_of[slot]] += counted.get(slot, (0, 0))[1]
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "_hash")) - 1
-    return sized.withColumns({"shard": placed.shard(F.col("vslot")), "slot": F.element_at(F.lit(before).cast("array<long>"), F.col("vslot") + 1) + place, "map_version": F.lit(placed.version)}).drop("_hash")
+    out = sized.withColumns({"shard": placed.shard(F.col("vslot")), "slot": F.element_at(F.lit(before).cast("array<long>"), F.col("vslot") + 1) + place, "map_version": F.lit(placed.version)})
+    return bring_back(out, names, new)
