@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.text import bring_back, set_aside
 from paperloom.session import written
 
+#: Columns that the mix adds.
+NEW = ["size", "source_size", "target", "copies", "taken"]
 #: Weights of the sources in order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
 BUCKETS, GROUP = 1 << 14, 1 << 7
@@ -108,16 +111,38 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[flo
     rows with the same id and text are taken together. ``weight`` (positive; null counts as 1) replaces the quality of
     the text. Clashing column names are replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    sized = written(keyed(docs, seed, weight).select("doc_id", "source", "size", "_key", "_bucket"), "sized")
+    docs, names, own = _own_columns(docs, weight)
+    sized = written(keyed(docs, seed, own).select("doc_id", "source", "size", "_key", "_bucket"), "sized")
     plan = mix_plan(sized, share, most, cycle)
-    joined = keyed(docs, seed, weight).join(few(plan), F.col("source").eqNullSafe(F.col("_source")), "left")
+    return bring_back(_taken(keyed(docs, seed, own), plan), names, NEW)
+
+
+def mix_counts(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, seed: int = 42, weight: Column | None = None) -> DataFrame:
+    """(doc_id, source) and the new columns of ``mix`` for every row of ``docs``: the same decisions, but texts are read once."""
+    docs, _, own = _own_columns(docs, weight)
+    sized = written(keyed(docs, seed, own).select("doc_id", "source", "size", "_key", "_bucket"), "sized")
+    return _taken(sized, mix_plan(sized, share, most, cycle)).select("doc_id", "source", *NEW)
+
+
+def _own_columns(docs: DataFrame, weight: Column | None) -> tuple[DataFrame, dict[str, str], Column | None]:
+    """``docs`` with other columns set aside, their names, and the weight as a column of its own."""
+    if weight is None:
+        return *set_aside(docs, ["doc_id", "text", "source"], NEW), None
+    name = "_weight"
+    while name in docs.columns:
+        name += "_"
+    docs, names = set_aside(docs.withColumn(name, weight.cast("double")), ["doc_id", "text", "source", name], NEW)
+    names.pop(name)
+    return docs, names, F.col(name)
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    joined = rows.join(few(plan), F.col("source").eqNullSafe(F.col("_source")), "left")
     last = (F.col("_bucket") < F.col("end_bucket")) | ((F.col("_bucket") == F.col("end_bucket")) & F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False)))
-    joined = joined.withColumn("copies", (F.col("epochs") + last.cast("int")).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return joined.drop("_key", "_bucket", "_source", "epochs", "end_bucket", "cut")
+    return joined.withColumn("copies", (F.col("epochs") + last.cast("int")).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    columns = docs.columns
-    return mix(docs, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*columns)
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``; edge cases as in ``mix``."""
+    docs, names = set_aside(docs, ["doc_id", "text", "source"])
+    return bring_back(mix(docs, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))), names)

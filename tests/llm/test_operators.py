@@ -81,7 +81,7 @@ def test_quality_is_modified_kneser_ney(spark):
     def discounts(c):
         n = [0] + [sum(v == i for v in c.values()) for i in range(1, 5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        return [0.0] + [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
+        return [0.0] + [min(i, max(quality.LEAST_CUT * i, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
 
     cuts = {k: discounts(c) for k, c in counts.items()}
 
@@ -121,7 +121,7 @@ def test_word_pairs_by_brute_force(spark):
     def cuts(c):
         n = [0] + [sum(v == i for v in c.values()) for i in range(1, 5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        return [0.0] + [min(i, max(0, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
+        return [0.0] + [min(i, max(quality.LEAST_CUT * i, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3)]
 
     d2, d1 = cuts(pairs), cuts(before)
 
@@ -172,6 +172,41 @@ def test_packed_pairs():
     assert len(parts) == 7 and back == dict(zip(pair.tolist(), n.tolist(), strict=True))
 
 
+def test_probabilities_are_proper():
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        n = [0, *rng.integers(0, (3, 50, 900)[case % 3], 4).tolist()]
+        d = quality.discounts_from([0, 546, 80, 58, 57] if case == 0 else n)
+        assert all(quality.LEAST_CUT * i <= d[i] <= i for i in (1, 2, 3))
+        lower = rng.dirichlet(np.ones(12))
+        for counts in (rng.integers(0, 5, (9, 12)), rng.integers(3, 9, (9, 12)) * (rng.random((9, 12)) < 0.3), np.zeros((9, 12), np.int64)):
+            p = quality.interpolated(counts, d, lower)
+            assert np.isfinite(np.log(p)).all() and np.allclose(p.sum(axis=1), 1)
+
+
+def test_word_pair_probabilities_sum_to_one(monkeypatch):
+    monkeypatch.setattr(quality, "NUMBERS", 50)
+    rng = np.random.default_rng(6)
+    for high in (2, 4, 40):  # from all singletons to none
+        c = rng.integers(0, high, (50, 50)) * (rng.random((50, 50)) < 0.3) + (0 if high < 40 else 3 * (rng.random((50, 50)) < 0.1).astype(int))
+        c[7] = 0
+        sums = [(i, int(c[i].sum()), int((c[i] > 0).sum()), *(int((c[i] == k).sum()) for k in range(1, 5)), int((c[:, i] > 0).sum())) for i in range(50)]
+        formula = quality.Pairs(sums)
+        logp = formula.log_probability(np.arange(2500), c.reshape(-1)).reshape(50, 50)
+        assert np.isfinite(logp).all() and np.allclose(np.exp(logp).sum(axis=1), 1)
+
+
+def test_quality_of_documents_never_seen(spark):
+    big = "/root/testdata/sf0.1"
+    marked = spark.read.parquet(f"{big}/labels.parquet")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    out = quality.classify_quality(spark.read.parquet(f"{big}/documents.parquet"), marked.where(even)).cache()
+    assert out.where("isnan(perplexity) or perplexity < 1 or log_prob > 0").count() == 0
+    unseen = out.join(marked.where(~even), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int"))).collect()
+    out.unpersist()
+    assert dict(unseen)[1] >= 0.95 and dict(unseen)[0] <= 0.2
+
+
 def test_quality_edges(spark, edge, docs, labels):
     out = quality.classify_quality(clashing(edge, "perplexity", "keep"), spark.createDataFrame([(4, 1), (4, 0), (None, 1)], "doc_id long, quality int"))
     assert out.count() == len(EDGE) and [r["trusted"] for r in out.where("doc_id = 4").collect()] == [True]
@@ -208,6 +243,7 @@ def test_decontamination_in_blocks_and_spans(spark, docs):
     assert rows_of(whole, ["doc_id", "n_hit", "items"]) == rows_of(decontaminate.find_benchmark(docs, bench, block_bytes=2000), ["doc_id", "n_hit", "items"])
     cut = decontaminate.decontaminate(docs, bench, remove="spans")
     assert cut.columns == docs.columns and cut.count() == docs.count()
+    assert rows_of(whole, ["doc_id", "n_hit", "items"]) == rows_of(decontaminate.find_benchmark(docs, bench, block_bytes=500), ["doc_id", "n_hit", "items"])  # more blocks than are chained
     unnamed = spark.createDataFrame([(None, "plain words")], "item_id long, text string")
     row = decontaminate.find_benchmark(spark.createDataFrame([(1, "Some plain, words!")], "doc_id long, text string"), unnamed).first()
     assert (row["n_words"], row["n_hit"], row["items"]) == (3, 2, [])
@@ -426,6 +462,37 @@ def test_simhash_by_brute_force(spark, edge, docs, shard):
     assert rows_of(simhash.near_groups(both, shard=shard), ["doc_id", "fingerprint", "component_id"]) == want
 
 
+def test_one_row_of_each_group_of_near_copies(spark):
+    same = "words that are said again and again in this text"
+    rows = [(1, same, "x"), (1, same, "x"), (1, "altogether different sentences stand in here today", "y"), (2, same, "z"), (3, "altogether different sentences stand in here today", "z"), (4, None, "n"), (5, "", "n"), (None, same, "k"), (None, same, "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, keep string")
+    kept = Counter(tuple(r) for r in simhash.drop_near_copies(frame.repartition(4)).collect())
+    prints = {(d, t): brute_fingerprint(t) for d, t, _ in rows}
+    assert (prints[1, same] ^ prints[3, rows[4][1]]).bit_count() > 2
+    # Both groups have 1 as their smallest id; of each, one row of that id stays.
+    assert kept == Counter([(1, same, "x"), (1, rows[2][1], "y"), (4, None, "n"), (None, same, "k"), (None, same, "k")])
+    for d in (simhash.drop_near_copies(frame.limit(0)), simhash.drop_near_copies(frame.where("doc_id is null").limit(0))):
+        assert d.columns == frame.columns and d.count() == 0
+
+
+CLASHES = ["_doc", "_hash", "_dropped", "epochs", "cut", "end_bucket", "_key", "_bucket", "_hits", "fp", "first", "n", "text_hash", "component_id", "row", "shard_key", "_carried_0", "_source", "word", "features"]
+
+
+def test_clashing_names_are_carried(spark, edge, labels):
+    """No column of an input is lost or confused with an operator's own, whatever its name."""
+    bench = spark.createDataFrame([(i, f"one two three four five {'one two three four five ' * (i % 3)}tail{i}") for i in range(30)], "item_id long, text string")
+    frame = edge.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in CLASHES})
+    results = {
+        "lines": line_dedup.dedup_lines(frame), "bench": decontaminate.find_benchmark(frame, bench, block_bytes=300), "spans": decontaminate.decontaminate(frame, bench, "spans"),
+        "mix": mixing.mix(frame, weight=F.length("_doc") + F.length("cut")), "rows": mixing.mixed_rows(frame), "shard": sharding.shard_documents(frame), "near": simhash.drop_near_copies(frame),
+        "clean": decontaminate.decontaminate(frame, bench), "toxic": toxicity.drop_toxic(frame, labels.limit(0)),
+    }
+    for name, out in results.items():
+        assert out.columns[: len(frame.columns)] == frame.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES), name
+
+
 def test_simhash_edges(spark, edge):
     assert simhash.near_groups(edge.limit(0)).count() == 0
     kept = simhash.drop_near_copies(clashing(edge, "fp", "component_id"))
