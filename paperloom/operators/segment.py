@@ -1,12 +1,13 @@
 """Papers into questions: the ordered lines of each paper are dealt to questions, then grouped.
 
 Without an answer section a paper needs window functions only: after a header, a question is open from the first
-numbered line on, so scores count from there, and each numbered line that is no score starts a question. Papers with
-an answer section are folded line by line, since a number there may belong to an earlier question.
+numbered line on, so scores count from there, and each numbered line that is no score starts a question. In papers
+with an answer section the numbered lines are walked in order, since a number there may belong to an earlier question.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from paperloom.functions import patterns as P
 from paperloom.functions.text import collapse_blanks, strip
 from paperloom.operators.classify import after_number, classify, header_type
 from paperloom.operators.options import is_latex, option_images, remainder, split_options
+from paperloom.session import written
 
 #: Lines after an answer-section entry that may hold its analysis.
 LOOK_AHEAD = 10
@@ -49,41 +51,59 @@ def deal_by_windows(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
 def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     """Classified lines of any papers, with kind and ord; kind is merge for an entry of the answer section.
 
-    The fold's state: the open question, whether the answer section has begun, the numbers of all questions so far.
+    Only headers, markers and numbered lines decide anything: these few are walked in order, in time linear in a paper's
+    lines, with the open question, whether the answer section has begun, and the first question of each number. All
+    other lines belong to the question that the last of these left open.
     """
-    row = F.struct("pos", "flag", "number", F.col("score").isNotNull().alias("scored"))
-    papers = lines.groupBy("file_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    none = F.lit(None).cast("int")
-
-    def step(acc: Column, x: Column) -> Column:
-        opened = acc["cur"].isNotNull()
-        text = x["flag"] == "text"
-        score = text & x["scored"] & opened & F.lit(score_consumes)
-        numbered = text & ~score & x["number"].isNotNull()
-        known = (F.array_position(acc["numbers"], x["number"]) - 1).cast("int")
-        merge = F.coalesce(numbered & acc["answers"] & (known >= 0), F.lit(False))
-        start = numbered & ~merge
-        fresh = F.size(acc["numbers"])
-        kind = F.when(~text, x["flag"]).when(score, "score").when(merge, "merge").when(start, "start").when(opened, "continuation").otherwise("orphan")
-        owner = F.when(merge, known).when(start, fresh).when(x["flag"].isin("blank", "header"), none).otherwise(acc["cur"])
-        return F.struct(
-            F.when((x["flag"] == "header") | merge, none).when(start, fresh).otherwise(acc["cur"]).alias("cur"),
-            F.when(x["flag"] == "marker", True).when(start, False).otherwise(acc["answers"]).alias("answers"),
-            F.when(start, F.array_append(acc["numbers"], x["number"])).otherwise(acc["numbers"]).alias("numbers"),
-            F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), kind.alias("kind"), owner.alias("ord"))).alias("out"),
-        )
-
-    pos = dict((f.name, f.dataType.simpleString()) for f in lines.schema)["pos"]
-    begin = F.struct(none.alias("cur"), F.lit(False).alias("answers"), F.array().cast("array<int>").alias("numbers"), F.array().cast(f"array<struct<pos: {pos}, kind: string, ord: int>>").alias("out"))
-    dealt = papers.select("file_id", F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("o")).select("file_id", "o.*")
-    return lines.join(dealt, ["file_id", "pos"])
+    types = {f.name: f.dataType.simpleString() for f in lines.schema}
+    decisive = F.col("flag").isin("header", "marker") | ((F.col("flag") == "text") & F.col("number").isNotNull())
+    scored = F.coalesce(F.col("score").isNotNull() & F.lit(score_consumes), F.lit(False))
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        kinds, owners, opened = [], [], []
+        current, answers, first_of, n = None, False, {}, 0
+        for flag, number, points in zip(*(table[c].to_pylist() for c in ("flag", "number", "scored")), strict=True):
+            kind, owner = flag, current
+            if flag == "header":
+                owner = current = None
+            elif flag == "marker":
+                answers = True
+            elif points and current is not None:
+                kind = "score"
+            elif answers and number in first_of:
+                kind, owner, current = "merge", first_of[number], None
+            else:
+                kind, owner, current, answers, n = "start", n, n, False, n + 1
+                first_of.setdefault(number, owner)
+            kinds.append(kind)
+            owners.append(owner)
+            opened.append(-1 if current is None else current)
+        columns = [pa.array(kinds, pa.string()), pa.array(owners, pa.int32()), pa.array(opened, pa.int32())]
+        return pa.Table.from_arrays([table["file_id"], table["pos"], *columns], names=["file_id", "pos", "_kind", "_owner", "_open"])
+
+    few = lines.where(decisive).select("file_id", "pos", "flag", "number", scored.alias("scored"))
+    walked = few.groupBy("file_id").applyInArrow(walk, f"file_id {types['file_id']}, pos {types['pos']}, _kind string, _owner int, _open int")
+    out = lines.join(walked, ["file_id", "pos"], "left")
+    current = F.last("_open", ignorenulls=True).over(paper_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = out.withColumn("_current", F.when(current >= 0, current))
+    open_ = F.col("_current").isNotNull()
+    kind = F.when(F.col("flag") != "text", F.col("flag")).when(scored & open_, "score").when(open_, "continuation").otherwise("orphan")
+    owner = F.when(F.col("_kind").isNotNull(), F.col("_owner")).when(~F.col("flag").isin("blank", "header"), F.col("_current"))
+    return out.withColumns({"kind": F.coalesce("_kind", kind), "ord": owner.cast("int")}).drop("_kind", "_owner", "_open", "_current")
 
 
 def deal(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
-    """Classified lines with kind and ord: by windows where a paper has no answer section, else by the fold."""
-    marked = lines.withColumn("_answers", F.max((F.col("flag") == "marker").cast("int")).over(Window.partitionBy("file_id")))
-    plain = deal_by_windows(marked.where("_answers = 0").drop("_answers"), score_consumes)
-    return plain.unionByName(deal_by_fold(marked.where("_answers = 1").drop("_answers"), score_consumes))
+    """Classified lines with kind and ord: by windows where a paper has no answer section, else by the fold.
+
+    The lines are written once, as both ways and the choice between them read them.
+    """
+    lines = written(lines, "classified_lines")
+    answered = lines.where(F.col("flag") == "marker").select("file_id").distinct()
+    if answered.limit(1).count() == 0:
+        return deal_by_windows(lines, score_consumes)
+    plain = deal_by_windows(lines.join(answered, "file_id", "left_anti"), score_consumes)
+    return plain.unionByName(deal_by_fold(lines.join(answered, "file_id", "left_semi"), score_consumes))
 
 
 def look_ahead(lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from paperloom.operators.options import is_latex, legacy_options, option_pairs,
 from paperloom.operators.segment import clean_content, deal, deal_by_fold, look_ahead, split_questions, with_type
 from paperloom.plans import fixtures as X
 from paperloom.plans import oracle as O
+from paperloom.session import written
 from paperloom.streaming import jobs
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -60,7 +61,8 @@ def line_kinds(spark, sf_dir):
 
 @query(O.DEALT + "select file_id, pos, kind, ord from dealt")
 def line_kinds_by_fold(spark, sf_dir):
-    lines = classify(X.rows(spark, sf_dir, X.PAPER_LINES))
+    # Written, so that the choice of decisive lines doesn't repeat the rules.
+    lines = written(classify(X.rows(spark, sf_dir, X.PAPER_LINES)), "lines")
     return deal_by_fold(lines).select("file_id", "pos", "kind", F.col("ord").cast("long").alias("ord"))
 
 
