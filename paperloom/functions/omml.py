@@ -17,7 +17,11 @@ sin cos tan cot sec csc log ln exp lg lb lim limsup liminf max min sup inf dim k
 arcsin arccos arctan arccot arcsec arccsc sinh cosh tanh coth sech csch arsinh arcosh artanh
 """.split()
 # Large operators.
-OPERATORS = dict(zip("∑ ∏ ∐ ∫ ∬ ∭ ∮ ∯ ∰ ⋃ ⋂ ⋁ ⋀ ⊕ ⊗ ⨁ ⨂ ⨄ ⨅ ⨆".split(), "sum prod coprod int iint iiint oint oiint oiiint bigcup bigcap bigvee bigwedge bigoplus bigotimes bigoplus bigotimes biguplus bigsqcap bigsqcup".split(), strict=True))
+OPERATORS = {
+    "∑": "sum", "∏": "prod", "∐": "coprod", "∫": "int", "∬": "iint", "∭": "iiint", "∮": "oint",
+    "∯": "oiint", "∰": "oiiint", "⋃": "bigcup", "⋂": "bigcap", "⋁": "bigvee", "⋀": "bigwedge", "⊕": "bigoplus",
+    "⊗": "bigotimes", "⨁": "bigoplus", "⨂": "bigotimes", "⨄": "biguplus", "⨅": "bigsqcap", "⨆": "bigsqcup",
+}
 # Delimiters that aren't written as they are; one that is missing is a dot.
 DELIMITERS = {"{": r"\{", "}": r"\}", "‖": r"\|", "⌈": r"\lceil ", "⌉": r"\rceil ", "⌊": r"\lfloor ", "⌋": r"\rfloor ", "⟨": r"\langle ", "⟩": r"\rangle ", "": "."}
 # Accents, as characters and as combining marks.
@@ -26,16 +30,27 @@ ACCENTS = {"^": "hat", "~": "tilde", "-": "bar", ".": "dot", "..": "ddot", "→"
 MATRICES = {"(": "pmatrix", "[": "bmatrix", "{": "Bmatrix", "|": "vmatrix", "‖": "Vmatrix"}
 # Characters and their commands.
 SYMBOLS = {
-    "Α Β Γ Δ Ε Ζ Η Θ Ι Κ Λ Μ Ν Ξ Ο Π Ρ Σ Τ Υ Φ Χ Ψ Ω": "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Mu Nu Xi Omicron Pi Rho Sigma Tau Upsilon Phi Chi Psi Omega",
-    "α β γ δ ε ζ η θ ι κ λ μ ν ξ ο π ρ σ τ υ φ χ ψ ω": "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega",
-    "± ∓ × ÷ ∗ ⋆ ∘ • ∩ ∪ ⊔ ⊓ ∧ ∨ ⊕ ⊗ ⊖ ⊙ † ‡ ∞ ∂ ∇ √ ∠ ⊥": "pm mp times div ast star circ bullet cap cup sqcup sqcap wedge vee oplus otimes ominus odot dagger ddagger infty partial nabla surd angle perp",
-    "≤ ≥ ≡ ≈ ≠ ∼ ≃ ≅ ≪ ≫ ∝ ⊂ ⊃ ⊆ ⊇ ∈ ∋ ∉": "leq geq equiv approx neq sim simeq cong ll gg propto subset supset subseteq supseteq in ni notin",
-    "← → ↑ ↓ ↔ ⇒ ⇐ ⇔ ↦": "leftarrow rightarrow uparrow downarrow leftrightarrow Rightarrow Leftarrow Leftrightarrow mapsto",
-    "… ⋯ ⋮ ⋱ ℵ ℑ ℜ ℘ ∀ ∃ ∅": "dots cdots vdots ddots aleph Im Re wp forall exists emptyset",
-}
+    "Α": "Alpha", "Β": "Beta", "Γ": "Gamma", "Δ": "Delta", "Ε": "Epsilon", "Ζ": "Zeta", "Η": "Eta", "Θ": "Theta",
+    "Ι": "Iota", "Κ": "Kappa", "Λ": "Lambda", "Μ": "Mu", "Ν": "Nu", "Ξ": "Xi", "Ο": "Omicron", "Π": "Pi",
+    "Ρ": "Rho", "Σ": "Sigma", "Τ": "Tau", "Υ": "Upsilon", "Φ": "Phi", "Χ": "Chi", "Ψ": "Psi", "Ω": "Omega",
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta",
+    "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi", "ο": "omicron", "π": "pi",
+    "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega",
+    "±": "pm", "∓": "mp", "×": "times", "÷": "div", "∗": "ast", "⋆": "star", "∘": "circ", "•": "bullet",
+    "∩": "cap", "∪": "cup", "⊔": "sqcup", "⊓": "sqcap", "∧": "wedge", "∨": "vee", "⊕": "oplus", "⊗": "otimes",
+    "⊖": "ominus", "⊙": "odot", "†": "dagger", "‡": "ddagger", "∞": "infty", "∂": "partial", "∇": "nabla", "√": "surd",
+    "∠": "angle", "⊥": "perp",
+    "≤": "leq", "≥": "geq", "≡": "equiv", "≈": "approx", "≠": "neq", "∼": "sim", "≃": "simeq", "≅": "cong",
+    "≪": "ll", "≫": "gg", "∝": "propto", "⊂": "subset", "⊃": "supset", "⊆": "subseteq", "⊇": "supseteq", "∈": "in",
+    "∋": "ni", "∉": "notin",
+    "←": "leftarrow", "→": "rightarrow", "↑": "uparrow", "↓": "downarrow", "↔": "leftrightarrow", "⇒": "Rightarrow", "⇐": "Leftarrow", "⇔": "Leftrightarrow",
+    "↦": "mapsto",
+    "…": "dots", "⋯": "cdots", "⋮": "vdots", "⋱": "ddots", "ℵ": "aleph", "ℑ": "Im", "ℜ": "Re", "℘": "wp",
+    "∀": "forall", "∃": "exists", "∅": "emptyset",
+}
 # Characters that LaTeX takes for itself.
 ESCAPES = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "$": r"\$", "&": r"\&", "#": r"\#", "^": r"\^{}", "_": r"\_", "~": r"\textasciitilde{}", "%": r"\%"}
-_COMMANDS = {char: rf"\{name}" for chars, names in SYMBOLS.items() for char, name in zip(chars.split(), names.split(), strict=True)}
+_COMMANDS = {char: rf"\{name}" for char, name in SYMBOLS.items()}
 
 
 def escaped(text: str) -> str:

@@ -21,8 +21,8 @@ def section_headers(questions: DataFrame) -> DataFrame:
 
 
 def rich_text_runs(text: Column) -> Column:
-    """array<struct<text, italic>>: what stands between dollar signs is italic, with a space on either side."""
-    parts = F.transform(F.split(text, r"\$"), lambda x, i: F.struct(F.when(i % 2 == 1, F.concat(F.lit(" "), x, F.lit(" "))).otherwise(x).alias("text"), (i % 2 == 1).alias("italic")))
+    """array<struct<part, text, italic>>: what stands between dollar signs is italic, with a space on either side; part counts from 1, empty plain parts too."""
+    parts = F.transform(F.split(text, r"\$"), lambda x, i: F.struct((i + 1).cast("long").alias("part"), F.when(i % 2 == 1, F.concat(F.lit(" "), x, F.lit(" "))).otherwise(x).alias("text"), (i % 2 == 1).alias("italic")))
     return F.filter(parts, lambda r: r["italic"] | (r["text"] != ""))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import tex
@@ -33,3 +33,9 @@ def updated_cache(cache: DataFrame, compiled: DataFrame) -> DataFrame:
     both = cache.unionByName(new, allowMissingColumns=True)
     rest = [c for c in both.columns if c != "hash"]
     return both.groupBy("hash").agg(F.max_by(F.struct(*rest), F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp"))).alias("e")).select("hash", "e.*")
+
+
+def purge_cache(spark: SparkSession, path: str) -> None:
+    """Empty the cache index stored at ``path``; its columns stay."""
+    columns = spark.read.parquet(path).schema
+    spark.createDataFrame([], columns).write.mode("overwrite").parquet(path)

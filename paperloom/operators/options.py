@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import patterns as P
@@ -56,3 +56,20 @@ def option_pairs(options: Column) -> Column:
 def legacy_options(text: Column) -> Column:
     """Older rule: options count only where there are two or more."""
     return F.when(F.size(split_options(text)) >= 2, split_options(text)).otherwise(F.array().cast("array<struct<label: string, content: string>>"))
+
+
+def continued_options(lines: DataFrame) -> DataFrame:
+    """Older rule, for ordered lines (file_id, pos, text): (file_id, pos, options) of each line that holds options.
+
+    The last option of a line goes on over the lines after it that hold none, set apart by a blank; an option without
+    any content is left out. Null texts are empty; lines before a file's first option belong to none.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = lines.select("file_id", "pos", text.alias("text"), split_options(text).alias("own")).withColumn("has", F.size("own") > 0)
+    order = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("at", F.last(F.when(F.col("has"), F.col("pos")), ignorenulls=True).over(order)).where("at is not null")
+    rest = F.array_sort(F.collect_list(F.when(~F.col("has") & (strip(F.col("text")) != ""), F.struct("pos", strip(F.col("text")).alias("line")))))
+    held = own.groupBy("file_id", "at").agg(F.max_by("own", "has").alias("own"), F.transform(rest, lambda x: x["line"]).alias("more"))
+    last = F.element_at("own", -1)
+    whole = F.concat(F.slice("own", 1, F.size("own") - 1), F.array(F.struct(last["label"].alias("label"), strip(F.array_join(F.concat(F.array(last["content"]), F.col("more")), " ")).alias("content"))))
+    return held.select("file_id", F.col("at").alias("pos"), F.filter(whole, lambda o: o["content"] != "").alias("options"))

@@ -53,6 +53,7 @@ def status_counts(formulas: DataFrame, *by: str) -> DataFrame:
     )
 
 
+# The texts of reports in the two functions below.
 def render_strategy(counts: DataFrame) -> DataFrame:
     """``status_counts`` with strategy, reason, performance and recommendation."""
     total = F.col("total")

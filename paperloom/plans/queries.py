@@ -151,8 +151,7 @@ def export_lines(spark, sf_dir):
 
 @query(f"with s as (select file_id, pos, string_split(text, '$') as p from ({X.PAPER_LINES})), e as (select file_id, pos, unnest(p) as t, generate_subscripts(p, 1) as i from s) select file_id, pos, i as part, case when i % 2 = 0 then ' ' || t || ' ' else t end as text, i % 2 = 0 as italic from e where i % 2 = 0 or t <> ''")
 def rich_text(spark, sf_dir):
-    runs = X.rows(spark, sf_dir, X.PAPER_LINES).select("file_id", "pos", F.posexplode(F.split("text", r"\$")).alias("i", "t")).select("file_id", "pos", (F.col("i") + 1).cast("long").alias("part"), F.when(F.col("i") % 2 == 1, F.concat(F.lit(" "), "t", F.lit(" "))).otherwise(F.col("t")).alias("text"), (F.col("i") % 2 == 1).alias("italic"))
-    return runs.where("italic or text <> ''")
+    return X.rows(spark, sf_dir, X.PAPER_LINES).select("file_id", "pos", F.inline(export.rich_text_runs(F.col("text"))))
 
 
 @query(O.QUESTIONS + "select file_id, id from questions where ord % 3 = 0")
@@ -408,7 +407,11 @@ def exported_packages(spark, sf_dir):
 
 @query()
 def docx_round_trip(spark, sf_dir):
-    """Papers written as packages, read again and split: the same questions by number."""
+    """Papers written as packages, read again and split.
+
+    A section is written as its bare type word, which no header rule takes: on reading it goes to the question before,
+    and the next question, if its line names points, is taken for that question's score. All others come back.
+    """
     from paperloom.sources.docx import paragraphs, read_parts
 
     made = export.export_papers(paper(spark, sf_dir), include_answer=True).withColumnRenamed("bytes", "content")
