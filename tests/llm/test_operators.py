@@ -230,6 +230,25 @@ def test_line_dedup_edges(spark, edge):
     assert rows_of(few, ["doc_id", "n_dropped"]) == sorted(((r["doc_id"], r["n_dropped"]) for r in out), key=repr)
 
 
+def test_runs_are_joined_where_they_lie(spark, docs):
+    """A batch's join shuffles its own lines only; the runs, compacted or not, give what plain counting gives."""
+    lines = line_dedup.lines_of(docs.withColumn("text", F.concat("text", F.lit("\nthis line stands in the documents of number "), F.col("doc_id") % 17)), 20)
+    want = lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where("n >= 3")
+    for fanout, levels in ((2, [0, 0, 1]), (3, [1, 1]), (5, [4])):
+        store = line_dedup.LineRuns(spark, fanout=fanout, min_docs=3)
+        for part in range(4):
+            batch = lines.where(F.pmod("doc_id", F.lit(4)) == part)
+            plan = store.news(batch)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 2 and plan.count("SortMergeJoin") == plan.count("Bucketed: true") == len(store.runs())
+            store.add(batch)
+        assert [len(level) for level in store.levels] == levels
+        found = rows_of(store.repeated(), ["h1", "h2", "keeper"])
+        assert len(found) >= 17 and found == rows_of(want, ["h1", "h2", "keeper"])
+        names = store.runs()
+        store.forget()
+        assert not any(spark.catalog.tableExists(name) for name in names)
+
+
 def test_hot_lines_give_the_same(spark):
     lines = spark.range(300).select(F.lit(1).cast("long").alias("h1"), (F.col("id") % 7).alias("h2"), "id")
     repeated = lines.groupBy("h1", "h2").agg(F.max("id").alias("keeper"), F.count("*").alias("n_docs"))
