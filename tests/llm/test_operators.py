@@ -524,6 +524,10 @@ def test_close_pairs_connect_as_all_pairs_do():
     rows, columns = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
     want = simhash.group_labels(len(points), np.stack((rows, columns), 1))
     assert np.array_equal(simhash.group_labels(len(points), simhash.close_pairs(points, 2)), want)
+    # Dealt over homes, the pairs found with each home's points connect the same.
+    home = rng.integers(0, 5, len(points))
+    links = np.concatenate([simhash.close_pairs(points, 2, np.flatnonzero(home == h), leaf) for h, leaf in zip(range(5), (64, 64, 8, 8, 1))])
+    assert np.array_equal(simhash.group_labels(len(points), links), want)
 
 
 def test_top_k_edges(spark):
