@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from paperloom.llm import chat, decontaminate, license_scan, line_dedup, mixing, quality, ranked, runs, sharding, simhash, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,44 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+#: The query's rules, and the host names whose pages it lists.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+LISTED_HOSTS = "(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]"
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES))))
+    listed = pages.where(urls.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return urls.judge_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth document by the hash of its id repeats a stretch of words from some place on; linear in its words."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    held = docs.withColumns({"_h": h, "_n": F.when(h % 10 == 0, F.size(words))})
+    g = F.floor(F.col("_h") / 10)
+    held = held.withColumns({"_a": (g % F.col("_n")).cast("int"), "_k": (3 + g % 8).cast("int")})
+    p = (1 + F.floor((F.col("_n") - F.col("_a")) / F.col("_k"))).cast("int")
+    left = F.col("_n") - F.col("_a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, F.col("_a") + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
+    text = F.when(F.col("_n") > 0, F.array_join(F.concat(F.slice(words, F.lit(1), F.col("_a")), tail), " ")).otherwise(F.col("text"))
+    return held.withColumn("text", text).drop("_h", "_n", "_a", "_k")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontaminate, op4_licenses, op5_toxicity, op6_sharding, op7_mixing, op8_chat, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontaminate, op4_licenses, op5_toxicity, op6_sharding, op7_mixing, op8_chat, op9_simhash, op10_topk, op11_urls, op12_ranked, op13_runs)}
 
 
 #: Words of a DuckDB string column, as a list.
@@ -114,4 +150,40 @@ def oracle_sql() -> dict[str, str]:
                 from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
             ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
             select query_id, rank, vec_id, score from ranked where rank <= 20""",
+        "op11_urls": rf"""
+            with rules(host, path, verdict) as (values {", ".join(str(x) for x in URL_RULES)}),
+            parsed as (
+                select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+                    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '{urls.TRACKING}'))) as params
+                from pages),
+            named as (
+                select *, case when contains(url, '://') then rtrim(
+                    regexp_replace(host, '{urls.HOST_EXTRAS}', '', 'g') || rtrim(regexp_replace(path, '{urls.PATH_EXTRAS}', ''), '/') || '?' || array_to_string(params, '&'), '?') end as canonical
+                from parsed),
+            listed as (select distinct canonical from named where regexp_matches(host, '{LISTED_HOSTS}')),
+            places as (select distinct host, path from named),
+            best as (
+                select p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+                from places p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+                group by p.host, p.path)
+            select n.page_id, n.host, n.path, b.rule, coalesce(b.verdict, case when l.canonical is not null then 'block' else 'allow' end) as verdict
+            from named n left join best b on n.host = b.host and n.path = b.path left join listed l on n.canonical = l.canonical""",
+        "op12_ranked": f"""
+            with docs as (select row_number() over () as r, doc_id, {WORDS.format("text")} as w from documents),
+            totals as (select count(*) filter (where len(w) > 0) as n_docs, sum(len(w))::bigint as n_words from docs),
+            tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from docs) group by r, t),
+            terms as (select distinct item_id, t from (select item_id, unnest({WORDS.format("text")}) as t from benchmark)),
+            weights as (
+                select t, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as weight
+                from tf, totals where t in (select t from terms) group by t),
+            parts as (
+                select f.r, f.t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * n_docs) // n_words))) as part
+                from tf f join weights using (t) join docs d on f.r = d.r, totals),
+            scored as (
+                select q.item_id, p.r, sum(part)::bigint as score from terms q join parts p on q.t = p.t group by q.item_id, p.r),
+            ranked as (
+                select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank
+                from scored join docs using (r) where score > 0 and doc_id is not null)
+            select item_id, rank, doc_id, score from ranked where rank <= 10""",
     }
