@@ -13,6 +13,7 @@ from paperloom.operators.classify import classify, question_number
 from paperloom.operators.options import is_latex, legacy_options, option_pairs, remainder, split_options
 from paperloom.operators.segment import clean_content, deal, deal_by_fold, look_ahead, split_questions, with_type
 from paperloom.plans import fixtures as X
+from paperloom.plans import objects
 from paperloom.plans import oracle as O
 from paperloom.session import written
 from paperloom.streaming import jobs
@@ -432,3 +433,24 @@ def metafiles(spark, sf_dir):
 
     data = F.concat(F.lit("OLE").cast("binary"), F.when(F.col("p_size") % 2 == 0, F.unhex(F.lit("D7CDC69A"))).otherwise(F.lit(" EMF").cast("binary")), F.col("p_name").cast("binary"))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", metafile(data).alias("m")).select("p_partkey", "m.suffix", F.octet_length("m.data").alias("size"))
+
+
+@query(f"select p_partkey, 'Equation Native' as stream, 5::bigint as version, {objects.LATEX} as latex, null::varchar as error from part")
+def equation_objects(spark, sf_dir):
+    """Equations inside compound files, from their small or long, scattered streams to LaTeX."""
+    from paperloom.functions.equations import equation
+    from paperloom.sources.ole import EQUATION, ole_streams
+
+    found = ole_streams(objects.equation_objects(spark.read.parquet(f"{sf_dir}/part.parquet")), (EQUATION,))
+    return found.select("p_partkey", "stream", equation(F.col("data")).alias("e")).select("p_partkey", "stream", F.col("e.version").cast("long").alias("version"), "e.latex", "e.error")
+
+
+@query("""with s as (
+        select p_partkey, chr(1) || 'Ole' as stream, p_partkey % 100 as size, repeat(chr(1), (p_partkey % 100)::integer) as data from part union all
+        select p_partkey, 'Contents', p_partkey % 3 * 3000, repeat(chr(0), (p_partkey % 3 * 3000)::integer) from part)
+    select p_partkey, stream, size::bigint as size, sha256(data) as sha256 from s""")
+def compound_streams(spark, sf_dir):
+    from paperloom.sources.ole import EQUATION, ole_streams
+
+    found = ole_streams(objects.equation_objects(spark.read.parquet(f"{sf_dir}/part.parquet"))).where(F.col("stream") != EQUATION)
+    return found.select("p_partkey", "stream", "size", F.sha2("data", 256).alias("sha256"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
+from paperloom.functions.equations import equation
+from paperloom.sources.ole import EQUATION, ole_streams
+
 # First bytes of metafiles, in the order in which they are looked for.
 SIGNATURES = ((".wmf", b"\xd7\xcd\xc6\x9a"), (".emf", b" EMF"))
 # External programs by use, in order of preference.
@@ -41,6 +44,16 @@ def equation_header(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"version": pd.Series([r[0] for r in rows], dtype="Int32"), "fonts": [r[1] for r in rows]})
 
 
+def equations(media: DataFrame) -> DataFrame:
+    """(file_id, original_filename, version, fonts, latex, error) of the OLE media: a row for each equation stream or unreadable object.
+
+    version and fonts are those of ``equation_header``; objects without an equation give no row.
+    """
+    found = ole_streams(media.where("kind = 'ole'").select("file_id", "original_filename", "bytes"), (EQUATION,))
+    read = found.withColumns({"_h": equation_header(F.col("data")), "_e": equation(F.col("data"))})
+    return read.select("file_id", "original_filename", "_h.version", "_h.fonts", "_e.latex", F.coalesce("error", "_e.error").alias("error"))
+
+
 def capabilities(spark: SparkSession) -> DataFrame:
     """(use, tool, rank, available): the external programs that the driver finds; none of them is needed."""
     rows = [(use, tool, i, shutil.which(tool) is not None) for use, tools in TOOLS.items() for i, tool in enumerate(tools)]
