@@ -36,7 +36,9 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     Two independently seeded 64-bit hashes stand for a key, so different lines don't meet even among 10**12.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(ascii_lower(text), "\n")).alias("pos", "line"))
+    # The text's hash is taken before its lines are dealt out: beside them it would be taken anew for each.
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    keyed = hashed.select("doc_id", "text_hash", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line"))
     key = F.btrim("line", F.lit(BLANKS))
     return keyed.select("doc_id", "text_hash", "pos", key.alias("key")).where(F.char_length("key") >= min_chars).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -48,8 +50,8 @@ class LineRuns:
     entries, once shuffled by hash, meet each run in place.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 3, min_docs: int = 3):
-        self.spark, self.fanout, self.min_docs = spark, fanout, min_docs
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 3, min_docs: int = 3, doc_id: str = "long"):
+        self.spark, self.fanout, self.min_docs, self.doc_id = spark, fanout, min_docs, doc_id
         self.path = path or f"{shared_folder(spark)}/paperloom/{uuid.uuid4().hex}/runs"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
@@ -60,7 +62,7 @@ class LineRuns:
 
     def merged(self, names: list[str]) -> DataFrame:
         # As plain files: grouping a union of bucketed tables without a shuffle, Spark 4.1.2 split groups (measured).
-        runs = self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*(f"{self.path}/{name}" for name in names))
+        runs = self.spark.read.schema(f"h1 long, h2 long, n_docs long, last_doc {self.doc_id}").parquet(*(f"{self.path}/{name}" for name in names))
         return runs.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def _write(self, entries: DataFrame, level: int) -> None:
@@ -104,12 +106,13 @@ class LineRuns:
 def with_keeper(lines: DataFrame, repeated: DataFrame, hottest: int = 8192) -> DataFrame:
     """The lines that are repeated, with their keeper.
 
-    Lines of which one in ``hottest`` or more is a copy are at most ``hottest`` different ones, as documents that hold
-    a line are never more than its copies: these are broadcast, so that no task gets all copies of one. The rest is
-    joined by hash.
+    A line that is one copy in ``hottest`` or more is hot. There are at most ``hottest`` different ones, so these are
+    broadcast, and no task gets all copies of one. The rest is joined by hash.
     """
     least = F.lit(-(-lines.count() // hottest))
-    hot, rest = repeated.where(F.col("n_docs") >= least).drop("n_docs"), repeated.where(F.col("n_docs") < least).drop("n_docs")
+    # Copies, not documents: a document may hold a line many times over.
+    often = F.broadcast(lines.groupBy(*HASH).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*HASH))
+    hot, rest = (written(repeated.drop("n_docs").join(often, HASH, how), "repeated_" + how) for how in ("left_semi", "left_anti"))
     return lines.join(F.broadcast(hot), HASH).unionByName(lines.join(F.broadcast(hot), HASH, "left_anti").join(rest, HASH))
 
 
@@ -120,27 +123,29 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     kept_text are replaced if they clash) with n_lines, n_dropped and kept_text. Null or empty text: one empty line.
     Rows are documents: rows that repeat a doc_id with another text count apiece, identical rows (same doc_id and text)
     count once, and all rows with the largest doc_id keep a line. A null doc_id is never the keeper, unless all are
-    null: then nothing is dropped. An empty table gives an empty result.
+    null: then nothing is dropped. doc_id may be of any type that Spark orders. Texts are taken whole, in time and memory
+    linear in their lines. An empty table gives an empty result.
     """
     new = ["n_lines", "n_dropped", "kept_text"]
     docs, names = set_aside(docs, ["doc_id", "text"], new)
     lines = written(lines_of(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "lines")
-    store = LineRuns(docs.sparkSession, fanout=fanout, min_docs=min_docs)
-    for batch in range(batches):
-        store.add(lines.where(F.col("batch") == batch))
-    repeated = written(store.repeated(), "repeated")
-    store.forget()
+    store = LineRuns(docs.sparkSession, fanout=fanout, min_docs=min_docs, doc_id=docs.schema["doc_id"].dataType.simpleString())
+    try:
+        for batch in range(batches):
+            store.add(lines.where(F.col("batch") == batch))
+        repeated = written(store.repeated(), "repeated")
+    finally:
+        store.forget()
     found = with_keeper(lines, repeated)
     hits = found.where(~F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
     dropped = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_dropped")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_dropped")
     text = F.coalesce("text", F.lit(""))
     joined = docs.withColumn("_text_hash", F.xxhash64(text)).join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    all_lines = F.split(text, "\n")
-    # Looking up positions in a map keeps long documents linear.
-    gone = F.map_from_arrays("_dropped", F.array_repeat(F.lit(True), F.size("_dropped")))
-    kept = F.filter(all_lines, lambda line, i: F.element_at(gone, i).isNull())
+    joined = joined.withColumn("_lines", F.split(text, "\n"))
+    # Linear in the lines: positions are subtracted as sets, and an array of its own column is not split again for each.
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_dropped"), lambda i: F.element_at("_lines", i + 1))
     joined = joined.withColumns({
-        "n_lines": F.size(all_lines).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
         "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
         "kept_text": F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(kept, "\n")),
     })
