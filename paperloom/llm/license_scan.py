@@ -1,7 +1,8 @@
 """License scans: exact phrases by word, and short notices with bounded errors.
 
 A notice of L characters may differ by k = L // 10 edits. Cut into k + 1 pieces, one piece at least is untouched
-(pigeonhole), so an Aho-Corasick scan for all pieces finds every place where a notice may stand; the regex library's
+(pigeonhole), so an Aho-Corasick scan for all pieces finds every place where a notice may stand. A bit-parallel edit
+distance, linear in these places' characters, leaves those where some stretch is within k edits; the regex library's
 bounded-error matching then verifies the window around each such place and reports span and edits. The words that tell
 licenses apart have a bound of their own (KEYS), so that no other license's name passes for an edit.
 """
@@ -83,7 +84,9 @@ class Scanner:
         import ahocorasick
         import regex
 
-        self.bounded = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={allowed(notice)}}}") for _, notice in NOTICES]
+        self.masks = [{c: sum(1 << j for j, x in enumerate(notice) if x == c) for c in notice} for _, notice in NOTICES]
+        # Key words that allow no edit must stand in a match as they are.
+        self.fixed = [[f" {w} " for w in notice.split() if w in KEYS and len(w) < KEY_EDIT] for _, notice in NOTICES]
         self.keyed = [regex.compile(f"(?b){keyed(notice)}") for _, notice in NOTICES]
         held: dict[str, list[tuple[int, int]]] = {}
         for i, (_, notice) in enumerate(NOTICES):
@@ -94,6 +97,30 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), places))
         self.seeds.make_automaton()
 
+    def ends(self, i: int, text: str, a: int, b: int) -> list[int]:
+        """Where in text[a:b] a stretch ends that is the notice with the edits allowed, or fewer.
+
+        The columns of the edit-distance table are kept as bits of their steps up and down, and one sum carries the
+        steps from row to row, so that a character takes a few operations on integers of the notice's length.
+        """
+        masks, n, k = self.masks[i], len(NOTICES[i][1]), allowed(NOTICES[i][1])
+        every, top = (1 << n) - 1, 1 << (n - 1)
+        up, down, distance, out = every, 0, n, []
+        for j in range(a, min(b, len(text))):
+            equal = masks.get(text[j], 0)
+            level = equal | down
+            cross = (((equal & up) + up) ^ up) | equal
+            right, left = down | (every & ~(cross | up)), up & cross
+            if right & top:
+                distance += 1
+            elif left & top:
+                distance -= 1
+            right, left = right << 1 & every, left << 1 & every
+            up, down = left | (every & ~(level | right)), right & level
+            if distance <= k:
+                out.append(j + 1)
+        return out
+
     def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
         """Places that may hold a notice; each is whole in one of them, and none is wide enough for two."""
         found: dict[int, set[int]] = {}
@@ -109,14 +136,23 @@ class Scanner:
                     merged[-1][1] = s
                 else:
                     merged.append([s, s])
-            out[i] = [(max(0, a - k), b + n + k) for a, b in merged]
+            places = [(max(0, a - k), b + n + k) for a, b in merged]
+            # Windows overlap; each stretch of them is read once.
+            joined: list[list[int]] = []
+            for a, b in places:
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            ends = [e for a, b in joined for e in self.ends(i, text, a, b)]
+            out[i] = [(a, b) for a, b in places if (at := bisect_left(ends, a + n - k)) < len(ends) and ends[at] <= b]
         return out
 
     def best(self, i: int, text: str, a: int, b: int) -> tuple[int, int, int, int, int] | None:
         """(edits, first, end, a, b) of the notice's best match in text[a:b]."""
-        part = text[a:b]
         # Searched in the text itself: a part may begin within a word, which the lookbehind must see.
-        if not self.bounded[i].search(part) or not (m := self.keyed[i].search(text, a, min(b, len(text)))):
+        part = f" {text[max(0, a - 1) : b + 1]} "
+        if not all(w in part for w in self.fixed[i]) or not (m := self.keyed[i].search(text, a, min(b, len(text)))):
             return None
         edits = sum(m.fuzzy_counts)
         return (edits, m.start(), m.end(), a, b) if edits <= allowed(NOTICES[i][1]) else None
@@ -150,7 +186,8 @@ def scan_licenses(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     n_words; n_base, first_word, last_word: places of the exact phrases (first and last null without any); base_labels,
     labels: sorted distinct arrays, labels with those of notices; score: 1 with a phrase, else 1 - edits / length of
     the best notice, else 0; spans: notices found, as characters of the normalised text. Null or empty text: no words,
-    no labels, score 0. Clashing column names are replaced. Every row stands alone, so repeats are scanned alike.
+    no labels, score 0. Clashing column names are replaced. Every row stands alone, so repeats are scanned alike, and long
+    texts are scanned whole, in time about linear in their words and in the notices found.
     """
     names = [c for c in columns or docs.columns if c not in SCHEMA_NAMES and (columns or c != "text")]
     docs = docs.drop(*SCHEMA_NAMES)
