@@ -40,8 +40,6 @@ PER_SHARD, PACKED, HELD = 500_000, 2_000_000, 32 << 20
 LEAST_CUT = 0.05
 #: One in so many trusted documents is kept from training: the thresholds are taken from these.
 HELD_OUT = 5
-#: Documents that a language needs for a threshold of its own alone.
-FEW = 40
 #: Fixed-point scale of log-probabilities: sums don't depend on their order.
 SCALE = 1 << 20
 #: Trusted ids that are broadcast at most; more are joined by merge.
@@ -466,20 +464,18 @@ def language_thresholds(scored: DataFrame, quantile: float, slack: float, step:
     """(lang, threshold): ``slack`` times the perplexity at ``quantile`` of the documents of each language marked ``sets_threshold``.
 
     Log-perplexities are counted in steps of ``step``, so that the exact quantile of any number of documents comes from
-    some thousand counts a language. A language without such documents has the threshold of all together; one with
-    fewer than FEW has that or its own, whichever is greater.
+    some thousand counts a language. A language without such documents has the threshold of all together; of few
+    documents the quantile is their greatest perplexity (below 20 for 0.95).
     """
     bins = written(scored.where("sets_threshold").groupBy("lang", F.round(F.log("perplexity") / step).cast("long").alias("bin")).agg(F.count("*").alias("n")), "bins")
 
     def at(table: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by)
         upto = table.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-        return upto.where(F.col("upto") >= quantile * F.col("total")).groupBy(*by).agg((F.exp(F.min("bin") * step) * slack).alias("threshold"), F.max("total").alias("n"))
+        return upto.where(F.col("upto") >= quantile * F.col("total")).groupBy(*by).agg((F.exp(F.min("bin") * step) * slack).alias("threshold"))
 
     overall = at(bins.withColumn("every", F.lit(1)), "every").select(F.col("threshold").alias("overall"))
-    first = overall.first()
-    own = F.when(F.col("n") < FEW, F.greatest("threshold", F.lit(first["overall"] if first else None).cast("double"))).otherwise(F.col("threshold"))
-    return at(bins, "lang").select("lang", own.alias("threshold")), overall
+    return at(bins, "lang").select("lang", "threshold"), overall
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.1, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -489,7 +485,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.95,
     and sets the thresholds, as documents score far better under a model that has seen them. Kept are the documents
     whose perplexity is no higher than their language's threshold. Null and empty texts have one symbol, their end. Null
     lang is a language of its own. Without trusted text all words of a length are equally likely; without held-out
-    trusted documents thresholds are null and all are kept. Rows that repeat count apiece; a doc_id with several labels
+    trusted documents thresholds are null and all are kept. Texts are scored whole, however long. Rows that repeat count apiece; a doc_id with several labels
     is trusted if any is 1, a null doc_id never. Other columns aren't read.
     """
     good = labels.where("quality = 1").select("doc_id").distinct()
