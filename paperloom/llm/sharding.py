@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.text import bring_back, set_aside
+from paperloom.session import written
 
 SLOTS = 4096
 #: The setting that names the stored map of the registered queries; without it each run starts from a new one.
@@ -120,30 +121,51 @@ def text_size(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def _slotted(docs: DataFrame, slots: int, copies: DataFrame | None = None) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """``docs`` with size, text hash and virtual slot, and (bytes, rows) of each slot; rows among ``copies`` are dealt one by one."""
+    sized = docs.withColumns({"size": text_size(), "_hash": F.xxhash64("text")})
+    key = [F.col("doc_id"), F.col("_hash")]
+    if copies is not None:
+        sized = sized.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(copies), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_same")), "left")
+        key.append(F.when(F.col("_many"), F.col("_place")))
+    sized = sized.withColumn("vslot", F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int"))
+    rows = sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    return sized, {r["vslot"]: (r["bytes"], r["n"]) for r in rows}
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """``docs`` with size, vslot, shard, slot (a record's place in its shard, gapless from 0) and map_version.
 
-    Shards have nearly equal bytes. The virtual slot depends on doc_id, text and nothing else, so rows that repeat go
-    together and equal ids with unlike texts apart; a null doc_id or text hashes like any other value. Places are
-    numbered by doc_id, then text hash, within a virtual slot, after the rows of the shard's earlier virtual slots: no
-    task holds a whole shard. Clashing column names are replaced; an empty table gives an empty result.
+    Shards have nearly equal bytes. The virtual slot depends on doc_id and text, so equal ids with unlike texts go
+    apart; a null doc_id or text hashes like any other value. Copies of one row (same doc_id and text) share a slot,
+    unless they are more than a slot's even share of the rows: then they are dealt over all slots. Places are numbered
+    by doc_id, then text hash, within a virtual slot, after the rows of the shard's earlier virtual slots: no task holds
+    a whole shard. Clashing column names are replaced; an empty table gives an empty result. Texts are hashed whole.
 
-    ``map_path``: the latest map stored there is edited, and the next version stored, when this is called; only slots
-    that the edit moves change their shard. A stored map may gain shards, but not lose any. One run at a time may use
-    a path. Without it, or at a path without a map, the edit is of the initial map.
+    ``map_path``: the latest map stored there is edited, and the next version stored, after the rows have been written;
+    only slots that the edit moves change their shard. A stored map may gain shards, but not lose any. One run at a time
+    may use a path. Without it, or at a path without a map, the edit is of the initial map.
     """
     new = ["size", "vslot", "shard", "slot", "map_version"]
     docs, names = set_aside(docs, ["doc_id", "text"], new)
-    sized = docs.withColumns({"size": text_size(), "_hash": F.xxhash64("text")})
-    sized = sized.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(slots)).cast("int"))
-    counted = {r["vslot"]: (r["bytes"], r["n"]) for r in sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+    sized, counted = _slotted(docs, slots)
+    total = sum(n for _, n in counted.values())
+    full = [s for s, (_, n) in counted.items() if n * slots > 2 * total and n > 1]
+    if full:
+        # A row with more copies than a slot's even share lies in such a slot; there are fewer of them than slots.
+        copies = sized.where(F.col("vslot").isin(full)).groupBy("doc_id", "_hash").agg(F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("_n") * slots > total))
+        copies = written(copies.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_same"), F.lit(True).alias("_many")), "copies")
+        if copies.count():
+            # Written, so that a row's place in its file, which tells its copies apart, is the same whenever it is read.
+            sized, counted = _slotted(written(docs, "docs"), slots, copies)
     placed = next_map(stored_map(docs.sparkSession, map_path) if map_path else None, {s: b for s, (b, _) in counted.items()}, shards, slots)
-    if map_path:
-        placed.save(docs.sparkSession, map_path)
     before, seen = [0] * slots, [0] * shards
     for slot in range(slots):
         before[slot] = seen[placed.shard_of[slot]]
         seen[placed.shard_of[slot]] += counted.get(slot, (0, 0))[1]
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "_hash")) - 1
     out = sized.withColumns({"shard": placed.shard(F.col("vslot")), "slot": F.element_at(F.lit(before).cast("array<long>"), F.col("vslot") + 1) + place, "map_version": F.lit(placed.version)})
+    if map_path:
+        out = written(out.select(*names, *new), "sharded")
+        placed.save(docs.sparkSession, map_path)
     return bring_back(out, names, new)
