@@ -67,6 +67,12 @@ JOB_EVENTS = """
         case event_type when 'error' then 0 when 'purchase' then 100 else 20 end as progress
     from events"""
 
+#: Steps of jobs: uploads, progress, ends and failures, many of them out of turn.
+JOB_STEPS = """
+    select concat('u', user_id) as file_id, ts, event_id as seq, case event_type when 'error' then 'error' when 'purchase' then 'completed' else 'parsing' end as status,
+        case when event_type = 'error' then 0 when event_type = 'purchase' then 100 when event_id % 3 = 0 then 0 else event_id % 100 end as progress
+    from events"""
+
 
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of ``sql`` over the tables it names."""

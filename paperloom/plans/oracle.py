@@ -137,3 +137,18 @@ def formulas(source: str, pattern: str, text: str) -> str:
 
 BLOCKS = rf"""with b as (select page_id, unnest(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)) as c from pages)
     select page_id, 'p' as tag, {strip("regexp_replace(c, '<[^>]+>', '', 'g')")} as text from b where {strip("regexp_replace(c, '<[^>]+>', '', 'g')")} <> ''"""
+
+JOB_STATES = f"""with recursive e as (select *, row_number() over (partition by file_id order by ts, seq) as n from ({X.JOB_STEPS})),
+    s as (
+        select distinct file_id, 0::bigint as n, null::varchar as status, 0::bigint as progress, 0::bigint as attempts, 0::bigint as illegal, null::timestamp as deadline from e
+        union all
+        select file_id, n, case when legal then next else now end, case when legal then (case when next = 'parsing' then p when next = 'completed' then 100 else 0 end) when now = 'error' then 0 else progress end,
+            attempts + (legal and upload)::bigint, illegal + (not legal)::bigint,
+            case when legal and upload then ts + interval 300 second when now <> 'parsing' or (legal and next <> 'parsing') then null else deadline end
+        from (
+            select *, case when upload then now is distinct from 'parsing' when next = 'parsing' then now is not distinct from 'parsing' and p >= (case when now = 'parsing' then progress else 0 end) else now is not distinct from 'parsing' end as legal
+            from (
+                select s.file_id, e.n, e.ts, e.status as next, e.progress as p, e.status = 'parsing' and e.progress = 0 as upload, s.progress, s.attempts, s.illegal, s.deadline,
+                    case when s.status = 'parsing' and s.deadline <= e.ts then 'error' else s.status end as now
+                from s join e on s.file_id = e.file_id and e.n = s.n + 1)))
+    select file_id, status, case when status is null then null else progress end as progress, attempts, illegal from (select *, row_number() over (partition by file_id order by n desc) as back from s) where back = 1"""

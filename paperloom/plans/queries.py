@@ -16,7 +16,7 @@ from paperloom.plans import fixtures as X
 from paperloom.plans import objects
 from paperloom.plans import oracle as O
 from paperloom.session import written
-from paperloom.streaming import jobs
+from paperloom.streaming import jobs, machine
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -454,3 +454,9 @@ def compound_streams(spark, sf_dir):
 
     found = ole_streams(objects.equation_objects(spark.read.parquet(f"{sf_dir}/part.parquet"))).where(F.col("stream") != EQUATION)
     return found.select("p_partkey", "stream", "size", F.sha2("data", 256).alias("sha256"))
+
+
+@query(O.JOB_STATES)
+def job_states(spark, sf_dir):
+    found = machine.final_states(X.rows(spark, sf_dir, X.JOB_STEPS))
+    return found.select("file_id", "status", F.col("progress").cast("long").alias("progress"), F.col("attempts").cast("long").alias("attempts"), F.col("illegal").cast("long").alias("illegal"))

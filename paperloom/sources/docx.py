@@ -17,18 +17,19 @@ from paperloom import schemas
 from paperloom.functions.omml import omml_to_latex
 from paperloom.functions.text import basename, stem, strip, suffix
 
-MAX_BYTES = 50 * 1024 * 1024
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 DOCUMENT, RELS = "word/document.xml", "word/_rels/document.xml.rels"
 
 
-def read_packages(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(file_id, path, length, content) of the .docx files below ``path`` with fewer than ``max_bytes`` bytes.
+def read_packages(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(file_id, path, length, content) of the .docx files below ``path``; with ``max_bytes``, of those with fewer bytes.
 
-    file_id is a hash of the path, so it is the same whenever the files are read.
+    file_id is a hash of the path, so it is the same whenever the files are read. Whole files are rows here;
+    ``packages.read_part_files`` reads single parts of files of any size.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") < max_bytes).select(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 32).alias("file_id"), "path", "length", "content")
+    files = files if max_bytes is None else files.where(F.col("length") < max_bytes)
+    return files.select(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 32).alias("file_id"), "path", "length", "content")
 
 
 def accepted(name: Column, mime: Column | None = None) -> Column:
