@@ -12,10 +12,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # Function names with a LaTeX command of the same name.
-FUNCTIONS = """
-sin cos tan cot sec csc log ln exp lg lb lim limsup liminf max min sup inf dim ker deg gcd lcm det tr hom arg
-arcsin arccos arctan arccot arcsec arccsc sinh cosh tanh coth sech csch arsinh arcosh artanh
-""".split()
+FUNCTIONS = (
+    "sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "exp", "lg", "lb", "lim", "limsup", "liminf", "max", "min",
+    "sup", "inf", "dim", "ker", "deg", "gcd", "lcm", "det", "tr", "hom", "arg", "arcsin", "arccos", "arctan",
+    "arccot", "arcsec", "arccsc", "sinh", "cosh", "tanh", "coth", "sech", "csch", "arsinh", "arcosh", "artanh",
+)
 # Large operators.
 OPERATORS = {
     "∑": "sum", "∏": "prod", "∐": "coprod", "∫": "int", "∬": "iint", "∭": "iiint", "∮": "oint",
