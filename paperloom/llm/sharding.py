@@ -123,16 +123,31 @@ def text_size(text: str = "text") -> Column:
 
 def _slotted(docs: DataFrame, slots: int, copies: DataFrame | None = None) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
     """``docs`` with size, text hash and virtual slot, and (bytes, rows) of each slot; rows among ``copies`` are dealt one by one."""
-    sized = docs.withColumns({"size": text_size(), "_hash": F.xxhash64("text")})
-    key = [F.col("doc_id"), F.col("_hash")]
+    sized = docs.withColumns({"size": text_size(), "_hash": F.xxhash64("text"), "_copy": F.lit(None).cast("long")})
     if copies is not None:
-        sized = sized.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(copies), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_same")), "left")
-        key.append(F.when(F.col("_many"), F.col("_place")))
-    sized = sized.withColumn("vslot", F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int"))
+        sized = _numbered(sized, copies)
+    # A null adds nothing to a hash.
+    sized = sized.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "_hash", "_copy"), F.lit(slots)).cast("int"))
     rows = sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     return sized, {r["vslot"]: (r["bytes"], r["n"]) for r in rows}
 
 
+def _numbered(sized: DataFrame, copies: DataFrame, parts: int = 1024) -> DataFrame:
+    """Rows among ``copies`` get numbers from 1 as ``_copy``: within parts of a row's copies, then by the parts' sums.
+
+    Copies don't differ, so it doesn't matter which has which number: the rows are the same however the input lies.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_same"))
+    # The place tells copies apart; they come from a written table, where it is the same whenever it is read.
+    marked = sized.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(copies), same, "left")
+    many = marked.where("_many").withColumn("_part", F.pmod("_place", F.lit(parts)))
+    by = Window.partitionBy("_doc", "_same").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = many.groupBy("_doc", "_same", "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(by), F.lit(0))).select(F.col("_doc").alias("_d"), F.col("_same").alias("_s"), F.col("_part").alias("_p"), "_before")
+    nth = F.row_number().over(Window.partitionBy("_doc", "_same", "_part").orderBy("_place"))
+    met = many.withColumn("_nth", nth).join(before, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_same") == F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return marked.where("_many is null").select(sized.columns).unionByName(met.withColumn("_copy", F.col("_before") + F.col("_nth")).select(sized.columns))
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """``docs`` with size, vslot, shard, slot (a record's place in its shard, gapless from 0) and map_version.
 
