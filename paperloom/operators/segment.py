@@ -3,6 +3,7 @@
 Without an answer section a paper needs window functions only: after a header, a question is open from the first
 numbered line on, so scores count from there, and each numbered line that is no score starts a question. In papers
 with an answer section the numbered lines are walked in order, since a number there may belong to an earlier question.
+Both are segmented scans over chunks of a paper, so a paper may be longer than a task can hold.
 """
 
 from __future__ import annotations
@@ -20,23 +21,52 @@ from paperloom.session import written
 
 #: Lines after an answer-section entry that may hold its analysis.
 LOOK_AHEAD = 10
+#: Papers are cut into chunks of 2 ** CHUNK_BITS positions, which one task holds.
+CHUNK_BITS = 11
 
 
-def paper_order():
-    """The lines of a paper in order; made on call, as windows need a session."""
-    return Window.partitionBy("file_id").orderBy("pos")
+def with_chunk(lines: DataFrame) -> DataFrame:
+    """``lines`` with _chunk: papers are cut where pos passes a multiple of 2 ** CHUNK_BITS."""
+    return lines.withColumn("_chunk", F.shiftright(F.col("pos").cast("long"), CHUNK_BITS))
+
+
+def chunk_order():
+    """The lines of a chunk up to the current one."""
+    return Window.partitionBy("file_id", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def chunks_before():
+    """The chunks of a paper before the current one, a row each."""
+    return Window.partitionBy("file_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def deal_by_windows(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
-    """Classified lines of papers without an answer section, with kind and ord (the question, from 0)."""
-    upto = paper_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = lines.withColumn("_section", F.sum((F.col("flag") == "header").cast("int")).over(upto))
-    first = F.min(F.when(F.col("number").isNotNull(), F.col("pos"))).over(Window.partitionBy("file_id", "_section"))
-    out = out.withColumn("_first", first)
-    numbered, scored = F.col("number").isNotNull(), F.col("score").isNotNull() & F.lit(score_consumes)
-    start = numbered & ((F.col("pos") == F.col("_first")) | ~scored)
-    out = out.withColumn("_start", start).withColumn("_ord", F.sum(F.col("_start").cast("int")).over(upto) - 1)
-    open_ = F.col("_first").isNotNull() & (F.col("pos") >= F.col("_first"))
+    """Classified lines of papers without an answer section, with kind and ord (the question, from 0).
+
+    A segmented scan: each chunk is summed up (questions it starts, whether it leaves one open), the chunks' rows are
+    scanned by paper, and lines are dealt inside their chunks. So only a row a chunk, never a paper, is in one task.
+    Rows without file_id or pos are left out.
+    """
+    out = with_chunk(lines).withColumn("_part", F.sum((F.col("flag") == "header").cast("int")).over(chunk_order()))
+    numbered = F.col("number").isNotNull()
+    scored = F.col("score").isNotNull() & F.lit(score_consumes)
+    out = out.withColumn("_first", F.min(F.when(numbered, F.col("pos"))).over(Window.partitionBy("file_id", "_chunk", "_part")))
+    # A section's first numbered line starts a question even with points, unless one is open from the chunk before.
+    opener = numbered & scored & (F.col("pos") == F.col("_first"))
+    sections = F.max("_part")
+    sums = out.groupBy("file_id", "_chunk").agg(
+        F.count(F.when((numbered & ~scored) | opener, 1)).alias("_starts"),
+        F.max((opener & (F.col("_part") == 0)).cast("int")).alias("_opener"),
+        F.when(F.max(F.when(numbered, F.col("_part"))) == sections, True).when(sections > 0, False).alias("_leaves"),
+    )
+    heads = sums.withColumn("_entered", F.coalesce(F.last("_leaves", ignorenulls=True).over(chunks_before()), F.lit(False)))
+    started = F.col("_starts") - F.when(F.col("_entered"), F.col("_opener")).otherwise(0)
+    heads = heads.withColumn("_base", F.coalesce(F.sum(started).over(chunks_before()), F.lit(0))).select("file_id", "_chunk", "_entered", "_base")
+    out = out.join(heads, ["file_id", "_chunk"])
+    within = F.col("_entered") & (F.col("_part") == 0)
+    out = out.withColumn("_start", (numbered & ~scored) | (opener & ~within))
+    out = out.withColumn("_ord", F.col("_base") + F.sum(F.col("_start").cast("int")).over(chunk_order()) - 1)
+    open_ = within | F.coalesce(F.col("pos") >= F.col("_first"), F.lit(False))
     kind = (
         F.when(F.col("flag") != "text", F.col("flag"))
         .when(F.col("_start"), "start")
@@ -45,52 +75,113 @@ def deal_by_windows(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
         .otherwise("orphan")
     )
     owned = open_ & ~F.col("flag").isin("blank", "header")
-    return out.withColumn("kind", kind).withColumn("ord", F.when(owned, F.col("_ord")).cast("int")).drop("_section", "_first", "_start", "_ord")
+    return out.withColumn("kind", kind).withColumn("ord", F.when(owned, F.col("_ord")).cast("int")).drop("_chunk", "_part", "_first", "_entered", "_base", "_start", "_ord")
+
+
+# What a deciding line does: a state is 2 * (the answer section has begun) + (a question is open).
+HEADER, MARK, POINTS, KNOWN = 1, 2, 4, 8
+
+
+def _step(state: int, code: int) -> tuple[int, str]:
+    """The state after a deciding line, and the line's kind."""
+    if code & HEADER:
+        return state & 2, "header"
+    if code & MARK:
+        return state | 2, "marker"
+    if code & POINTS and state & 1:
+        return state, "score"
+    if state & 2 and code & KNOWN:
+        return 2, "merge"
+    return 1, "start"
+
+
+def _sum_up(table: pa.Table) -> pa.Table:
+    """A chunk as one row: for each state before it, the state after it and the questions it starts."""
+    codes = table.sort_by("pos")["code"].to_pylist()
+    ends, starts = [], []
+    for state in range(4):
+        n = 0
+        for code in codes:
+            state, kind = _step(state, code)
+            n += kind == "start"
+        ends.append(state)
+        starts.append(n)
+    columns = [pa.array([ends], pa.list_(pa.int32())), pa.array([starts], pa.list_(pa.int32()))]
+    return pa.Table.from_arrays([table["file_id"].slice(0, 1), table["_chunk"].slice(0, 1), *columns], names=["file_id", "_chunk", "ends", "starts"])
+
+
+def _scan(table: pa.Table) -> pa.Table:
+    """The chunks of a paper with the state before each and the questions started before it."""
+    table = table.sort_by("_chunk")
+    states, bases, state, base = [], [], 0, 0
+    for ends, starts in zip(table["ends"].to_pylist(), table["starts"].to_pylist(), strict=True):
+        states.append(state)
+        bases.append(base)
+        if ends is not None:
+            state, base = ends[state], base + starts[state]
+    return pa.Table.from_arrays([table["file_id"], table["_chunk"], pa.array(states, pa.int32()), pa.array(bases, pa.int32())], names=["file_id", "_chunk", "_state", "_base"])
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """The deciding lines of a chunk with kind, owner (not of entries) and the question left open (-1: none)."""
+    table = table.sort_by("pos")
+    state, n = table["_state"][0].as_py(), table["_base"][0].as_py()
+    kinds, owners, opened = [], [], []
+    for code in table["code"].to_pylist():
+        state, kind = _step(state, code)
+        n += kind == "start"
+        # An open question is always the last one started.
+        current = n - 1 if state & 1 else -1
+        kinds.append(kind)
+        owners.append(current if current >= 0 else None)
+        opened.append(current)
+    columns = [pa.array(kinds, pa.string()), pa.array(owners, pa.int32()), pa.array(opened, pa.int32())]
+    return pa.Table.from_arrays([table["file_id"], table["pos"], table["number"], *columns], names=["file_id", "pos", "number", "_kind", "_owner", "_open"])
 
 
 def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     """Classified lines of any papers, with kind and ord; kind is merge for an entry of the answer section.
 
-    Only headers, markers and numbered lines decide anything: these few are walked in order, in time linear in a paper's
-    lines, with the open question, whether the answer section has begun, and the first question of each number. All
-    other lines belong to the question that the last of these left open.
+    Only headers, markers and numbered lines decide anything. They are a segmented scan too: a chunk of a paper is summed
+    up as a change of state, the chunks' rows are scanned by paper, and the deciding lines walked inside their chunks.
+    Whether a number is known at a line depends on the first line that started it: that is the first numbered line, but
+    for lines with points, which start nothing while a question is open. So the walk is repeated with what it found until
+    nothing changes. Each round settles at least one more line of a paper, and what doesn't change is the only solution,
+    as a line depends on earlier ones alone; two rounds are usual. Rows without file_id or pos are left out.
     """
     types = {f.name: f.dataType.simpleString() for f in lines.schema}
-    decisive = F.col("flag").isin("header", "marker") | ((F.col("flag") == "text") & F.col("number").isNotNull())
+    key = f"file_id {types['file_id']}"
+    lines = with_chunk(lines)
     scored = F.coalesce(F.col("score").isNotNull() & F.lit(score_consumes), F.lit(False))
-
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        kinds, owners, opened = [], [], []
-        current, answers, first_of, n = None, False, {}, 0
-        for flag, number, points in zip(*(table[c].to_pylist() for c in ("flag", "number", "scored")), strict=True):
-            kind, owner = flag, current
-            if flag == "header":
-                owner = current = None
-            elif flag == "marker":
-                answers = True
-            elif points and current is not None:
-                kind = "score"
-            elif answers and number in first_of:
-                kind, owner, current = "merge", first_of[number], None
-            else:
-                kind, owner, current, answers, n = "start", n, n, False, n + 1
-                first_of.setdefault(number, owner)
-            kinds.append(kind)
-            owners.append(owner)
-            opened.append(-1 if current is None else current)
-        columns = [pa.array(kinds, pa.string()), pa.array(owners, pa.int32()), pa.array(opened, pa.int32())]
-        return pa.Table.from_arrays([table["file_id"], table["pos"], *columns], names=["file_id", "pos", "_kind", "_owner", "_open"])
-
-    few = lines.where(decisive).select("file_id", "pos", "flag", "number", scored.alias("scored"))
-    walked = few.groupBy("file_id").applyInArrow(walk, f"file_id {types['file_id']}, pos {types['pos']}, _kind string, _owner int, _open int")
-    out = lines.join(walked, ["file_id", "pos"], "left")
-    current = F.last("_open", ignorenulls=True).over(paper_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    decisive = F.col("flag").isin("header", "marker") | ((F.col("flag") == "text") & F.col("number").isNotNull())
+    code = F.when(F.col("flag") == "header", HEADER).when(F.col("flag") == "marker", MARK).when(scored, POINTS).otherwise(0)
+    number = F.when(F.col("flag") == "text", F.col("number"))
+    few = written(lines.where(decisive).select("file_id", "_chunk", "pos", number.alias("number"), code.alias("code")), "deciding_lines")
+    chunks = lines.select("file_id", "_chunk").distinct()
+    firsts = few.where(F.col("number").isNotNull() & (F.col("code") == 0)).groupBy("file_id", "number").agg(F.min("pos").alias("_first"))
+    while True:
+        known = F.coalesce(F.col("_first") < F.col("pos"), F.lit(False))
+        marked = few.join(firsts, ["file_id", "number"], "left").withColumn("code", F.when(known, F.col("code").bitwiseOR(KNOWN)).otherwise(F.col("code"))).drop("_first")
+        sums = marked.select("file_id", "_chunk", "pos", "code").groupBy("file_id", "_chunk").applyInArrow(_sum_up, f"{key}, _chunk long, ends array<int>, starts array<int>")
+        heads = written(chunks.join(sums, ["file_id", "_chunk"], "left").groupBy("file_id").applyInArrow(_scan, f"{key}, _chunk long, _state int, _base int"), "chunk_heads")
+        walk = marked.join(heads, ["file_id", "_chunk"]).groupBy("file_id", "_chunk")
+        walked = written(walk.applyInArrow(_walk, f"{key}, pos {types['pos']}, number {types['number']}, _kind string, _owner int, _open int"), "walked_lines")
+        found = walked.where(F.col("_kind").isin("start", "merge")).groupBy("file_id", "number").agg(F.min("pos").alias("_found"))
+        changed = found.join(firsts, ["file_id", "number"], "full").where(~F.col("_found").eqNullSafe(F.col("_first")))
+        if changed.isEmpty():
+            break
+        firsts = written(found.withColumnRenamed("_found", "_first"), "first_lines")
+    owners = walked.where("_kind = 'start'").groupBy("file_id", "number").agg(F.min("_owner").alias("_started"))
+    entries = walked.where("_kind = 'merge'").join(owners, ["file_id", "number"]).withColumn("_owner", F.col("_started")).drop("_started")
+    walked = walked.where("_kind <> 'merge'").unionByName(entries).drop("number")
+    out = lines.join(walked, ["file_id", "pos"], "left").join(heads, ["file_id", "_chunk"])
+    entered = F.when(F.col("_state").bitwiseAND(1) == 1, F.col("_base") - 1)
+    current = F.coalesce(F.last("_open", ignorenulls=True).over(chunk_order()), entered)
     out = out.withColumn("_current", F.when(current >= 0, current))
     open_ = F.col("_current").isNotNull()
     kind = F.when(F.col("flag") != "text", F.col("flag")).when(scored & open_, "score").when(open_, "continuation").otherwise("orphan")
     owner = F.when(F.col("_kind").isNotNull(), F.col("_owner")).when(~F.col("flag").isin("blank", "header"), F.col("_current"))
-    return out.withColumns({"kind": F.coalesce("_kind", kind), "ord": owner.cast("int")}).drop("_kind", "_owner", "_open", "_current")
+    return out.withColumns({"kind": F.coalesce("_kind", kind), "ord": owner.cast("int")}).drop("_chunk", "_kind", "_owner", "_open", "_current", "_state", "_base")
 
 
 def deal(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
@@ -100,10 +191,11 @@ def deal(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     """
     lines = written(lines, "classified_lines")
     answered = lines.where(F.col("flag") == "marker").select("file_id").distinct()
-    if answered.limit(1).count() == 0:
-        return deal_by_windows(lines, score_consumes)
-    plain = deal_by_windows(lines.join(answered, "file_id", "left_anti"), score_consumes)
-    return plain.unionByName(deal_by_fold(lines.join(answered, "file_id", "left_semi"), score_consumes))
+    none = {"entry_answer": F.lit(None).cast("string"), "entry_analysis": F.lit(None).cast("string")}
+    if answered.isEmpty():
+        return deal_by_windows(lines, score_consumes).withColumns(none)
+    plain = deal_by_windows(lines.join(answered, "file_id", "left_anti"), score_consumes).withColumns(none)
+    return plain.unionByName(look_ahead(deal_by_fold(lines.join(answered, "file_id", "left_semi"), score_consumes)))
 
 
 def look_ahead(lines: DataFrame) -> DataFrame:
@@ -112,7 +204,16 @@ def look_ahead(lines: DataFrame) -> DataFrame:
     The analysis is the following lines up to a numbered one: of lines that start with 【 only what follows an analysis
     tag, of the others those that don't start with 故选.
     """
-    rest = F.collect_list("line").over(paper_order().rowsBetween(1, LOOK_AHEAD))
+    lines = with_chunk(lines)
+    sizes = lines.groupBy("file_id", "_chunk").agg(F.count("*").alias("_n"))
+    heads = sizes.select("file_id", "_chunk", F.coalesce(F.sum("_n").over(chunks_before()), F.lit(0)).alias("_base"))
+    lines = lines.join(heads, ["file_id", "_chunk"])
+    row = F.col("_base") + F.count("*").over(chunk_order()) - 1
+    # Blocks of equally many lines; the first lines of a block are also lent to the block before.
+    lines = lines.withColumn("_row", row).withColumn("_block", F.shiftright("_row", CHUNK_BITS)).drop("_chunk", "_base")
+    lent = F.shiftright(F.col("_row") - LOOK_AHEAD, CHUNK_BITS)
+    lines = lines.withColumn("_in", F.explode(F.sequence(F.greatest(lent, F.lit(0)), "_block")))
+    rest = F.collect_list("line").over(Window.partitionBy("file_id", "_in").orderBy("_row").rowsBetween(1, LOOK_AHEAD))
     numbered = lambda x: F.regexp_like(x, F.lit(rf"{P.FLAGS}^\d+\s*{P.DOT}"))
     tag = rf"{P.FLAGS}(?:{'|'.join(P.ANALYSIS_TAGS)})"
 
@@ -123,7 +224,8 @@ def look_ahead(lines: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.slice("_rest", F.lit(1), stop.cast("int")), part), lambda x: x.isNotNull())
     entry = after_number(F.col("line"))
     answer = F.regexp_extract(entry, rf"{P.FLAGS}^([A-H])\s*(?:[\[【]|$)", 1)
-    return lines.withColumn("_rest", rest).withColumns({"entry_answer": answer, "entry_analysis": F.array_join(parts, " ")}).drop("_rest")
+    own = lines.withColumn("_rest", rest).where("_in = _block")
+    return own.withColumns({"entry_answer": answer, "entry_analysis": F.array_join(parts, " ")}).drop("_rest", "_row", "_block", "_in")
 
 
 def clean_content(content: Column) -> Column:
@@ -135,9 +237,13 @@ def clean_content(content: Column) -> Column:
 
 def with_type(lines: DataFrame) -> DataFrame:
     """Classified lines with the type and type word of the last header at or before each."""
-    upto = paper_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    word = F.last("header_word", ignorenulls=True).over(upto)
-    return lines.withColumn("type_name", F.coalesce(word, F.lit(""))).withColumn("type", F.coalesce(header_type(F.nullif("type_name", F.lit(""))), F.lit("unknown")))
+    lines = with_chunk(lines)
+    told = F.when(F.col("header_word").isNotNull(), F.col("pos"))
+    sums = lines.groupBy("file_id", "_chunk").agg(F.max_by("header_word", told).alias("_word"))
+    heads = sums.select("file_id", "_chunk", F.last("_word", ignorenulls=True).over(chunks_before()).alias("_word"))
+    lines = lines.join(heads, ["file_id", "_chunk"])
+    word = F.coalesce(F.last("header_word", ignorenulls=True).over(chunk_order()), F.col("_word"))
+    return lines.withColumn("type_name", F.coalesce(word, F.lit(""))).withColumn("type", F.coalesce(header_type(F.nullif("type_name", F.lit(""))), F.lit("unknown"))).drop("_chunk", "_word")
 
 
 def split_questions(lines: DataFrame, score_consumes: bool = True, compat: bool = False) -> DataFrame:
@@ -155,7 +261,7 @@ def split_questions(lines: DataFrame, score_consumes: bool = True, compat: bool
     flagged = classify(lines)
     # Headers count for the sticky type only where they are headers.
     flagged = flagged.withColumn("header_word", F.when(F.col("flag") == "header", F.col("header_word")))
-    dealt = deal(look_ahead(with_type(flagged)), score_consumes).where("ord is not null")
+    dealt = deal(with_type(flagged), score_consumes).where("ord is not null")
     body = F.when(F.col("kind") == "start", after_number(F.col("line"))).when(F.col("kind") == "continuation", F.col("line"))
     rows = dealt.withColumn("_body", body).withColumn("_options", F.when(F.col("_body").isNotNull(), split_options(F.col("_body"))))
     has_options = F.coalesce(F.size("_options") > 0, F.lit(False))
