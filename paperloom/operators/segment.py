@@ -136,7 +136,7 @@ def _walk(table: pa.Table) -> pa.Table:
         owners.append(current if current >= 0 else None)
         opened.append(current)
     columns = [pa.array(kinds, pa.string()), pa.array(owners, pa.int32()), pa.array(opened, pa.int32())]
-    return pa.Table.from_arrays([table["file_id"], table["pos"], table["number"], *columns], names=["file_id", "pos", "number", "_kind", "_owner", "_open"])
+    return pa.Table.from_arrays([table["file_id"], table["pos"], table["number"], table["code"], *columns], names=["file_id", "pos", "number", "code", "_kind", "_owner", "_open"])
 
 
 def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
@@ -147,7 +147,8 @@ def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     Whether a number is known at a line depends on the first line that started it: that is the first numbered line, but
     for lines with points, which start nothing while a question is open. So the walk is repeated with what it found until
     nothing changes. Each round settles at least one more line of a paper, and what doesn't change is the only solution,
-    as a line depends on earlier ones alone; two rounds are usual. Rows without file_id or pos are left out.
+    as a line depends on earlier ones alone; one round or two are usual. ``lines`` are read several times: give them
+    written. Rows without file_id or pos are left out.
     """
     types = {f.name: f.dataType.simpleString() for f in lines.schema}
     key = f"file_id {types['file_id']}"
@@ -156,7 +157,7 @@ def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     decisive = F.col("flag").isin("header", "marker") | ((F.col("flag") == "text") & F.col("number").isNotNull())
     code = F.when(F.col("flag") == "header", HEADER).when(F.col("flag") == "marker", MARK).when(scored, POINTS).otherwise(0)
     number = F.when(F.col("flag") == "text", F.col("number"))
-    few = written(lines.where(decisive).select("file_id", "_chunk", "pos", number.alias("number"), code.alias("code")), "deciding_lines")
+    few = lines.where(decisive).select("file_id", "_chunk", "pos", number.alias("number"), code.alias("code"))
     chunks = lines.select("file_id", "_chunk").distinct()
     firsts = few.where(F.col("number").isNotNull() & (F.col("code") == 0)).groupBy("file_id", "number").agg(F.min("pos").alias("_first"))
     while True:
@@ -165,15 +166,16 @@ def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
         sums = marked.select("file_id", "_chunk", "pos", "code").groupBy("file_id", "_chunk").applyInArrow(_sum_up, f"{key}, _chunk long, ends array<int>, starts array<int>")
         heads = written(chunks.join(sums, ["file_id", "_chunk"], "left").groupBy("file_id").applyInArrow(_scan, f"{key}, _chunk long, _state int, _base int"), "chunk_heads")
         walk = marked.join(heads, ["file_id", "_chunk"]).groupBy("file_id", "_chunk")
-        walked = written(walk.applyInArrow(_walk, f"{key}, pos {types['pos']}, number {types['number']}, _kind string, _owner int, _open int"), "walked_lines")
+        walked = written(walk.applyInArrow(_walk, f"{key}, pos {types['pos']}, number {types['number']}, code int, _kind string, _owner int, _open int"), "walked_lines")
         found = walked.where(F.col("_kind").isin("start", "merge")).groupBy("file_id", "number").agg(F.min("pos").alias("_found"))
-        changed = found.join(firsts, ["file_id", "number"], "full").where(~F.col("_found").eqNullSafe(F.col("_first")))
+        taken = F.col("code").bitwiseAND(KNOWN) != 0
+        changed = walked.where("number is not null").join(found, ["file_id", "number"]).where((F.col("_found") < F.col("pos")) != taken)
         if changed.isEmpty():
             break
         firsts = written(found.withColumnRenamed("_found", "_first"), "first_lines")
     owners = walked.where("_kind = 'start'").groupBy("file_id", "number").agg(F.min("_owner").alias("_started"))
     entries = walked.where("_kind = 'merge'").join(owners, ["file_id", "number"]).withColumn("_owner", F.col("_started")).drop("_started")
-    walked = walked.where("_kind <> 'merge'").unionByName(entries).drop("number")
+    walked = walked.where("_kind <> 'merge'").unionByName(entries).drop("number", "code")
     out = lines.join(walked, ["file_id", "pos"], "left").join(heads, ["file_id", "_chunk"])
     entered = F.when(F.col("_state").bitwiseAND(1) == 1, F.col("_base") - 1)
     current = F.coalesce(F.last("_open", ignorenulls=True).over(chunk_order()), entered)
@@ -187,9 +189,9 @@ def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
 def deal(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     """Classified lines with kind and ord: by windows where a paper has no answer section, else by the fold.
 
-    The lines are written once, as both ways and the choice between them read them.
+    Both ways and the choice between them read the lines: give them written. Entries of the answer section come with
+    entry_answer and entry_analysis.
     """
-    lines = written(lines, "classified_lines")
     answered = lines.where(F.col("flag") == "marker").select("file_id").distinct()
     none = {"entry_answer": F.lit(None).cast("string"), "entry_analysis": F.lit(None).cast("string")}
     if answered.isEmpty():
@@ -235,13 +237,15 @@ def clean_content(content: Column) -> Column:
     return strip(collapse_blanks(cut))
 
 
-def with_type(lines: DataFrame) -> DataFrame:
-    """Classified lines with the type and type word of the last header at or before each."""
-    lines = with_chunk(lines)
+def with_type(lines: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Classified lines with the type and type word of the last header at or before each.
+
+    ``read``: the same lines where they are cheap to read, from which the chunks are summed up.
+    """
     told = F.when(F.col("header_word").isNotNull(), F.col("pos"))
-    sums = lines.groupBy("file_id", "_chunk").agg(F.max_by("header_word", told).alias("_word"))
+    sums = with_chunk(lines if read is None else read).groupBy("file_id", "_chunk").agg(F.max_by("header_word", told).alias("_word"))
     heads = sums.select("file_id", "_chunk", F.last("_word", ignorenulls=True).over(chunks_before()).alias("_word"))
-    lines = lines.join(heads, ["file_id", "_chunk"])
+    lines = with_chunk(lines).join(heads, ["file_id", "_chunk"])
     word = F.coalesce(F.last("header_word", ignorenulls=True).over(chunk_order()), F.col("_word"))
     return lines.withColumn("type_name", F.coalesce(word, F.lit(""))).withColumn("type", F.coalesce(header_type(F.nullif("type_name", F.lit(""))), F.lit("unknown"))).drop("_chunk", "_word")
 
@@ -261,9 +265,13 @@ def split_questions(lines: DataFrame, score_consumes: bool = True, compat: bool
     flagged = classify(lines)
     # Headers count for the sticky type only where they are headers.
     flagged = flagged.withColumn("header_word", F.when(F.col("flag") == "header", F.col("header_word")))
-    dealt = deal(with_type(flagged), score_consumes).where("ord is not null")
-    body = F.when(F.col("kind") == "start", after_number(F.col("line"))).when(F.col("kind") == "continuation", F.col("line"))
-    rows = dealt.withColumn("_body", body).withColumn("_options", F.when(F.col("_body").isNotNull(), split_options(F.col("_body"))))
+    # What a line alone tells is worked out before the lines move: a numbered line is never a continuation.
+    body = F.when(F.col("flag") == "text", F.when(F.col("number").isNotNull(), after_number(F.col("line"))).otherwise(F.col("line")))
+    flagged = flagged.withColumn("_body", body).withColumn("_options", F.when(F.col("_body").isNotNull(), split_options(F.col("_body"))))
+    flagged = written(flagged, "classified_lines")
+    dealt = with_type(deal(flagged, score_consumes), flagged).where("ord is not null")
+    stands = F.col("kind").isin("start", "continuation")
+    rows = dealt.withColumns({c: F.when(stands, F.col(c)) for c in ("_body", "_options")})
     has_options = F.coalesce(F.size("_options") > 0, F.lit(False))
     items, file_id = F.col("content_items"), F.col("file_id")
     stem = (F.col("kind") == "start") | ((F.col("kind") == "continuation") & ~has_options)

@@ -43,6 +43,9 @@ ANSWERED_LINES = f"""
         select p_brand, cast(1000000 + rn * 10 + 3 as bigint), '故选 A' from ({PARTS}) h where p_partkey % 3 = 0
     ) x"""
 
+#: The lines of papers once some of them were uploaded again, shortened.
+INGESTED_LINES = f"select * from ({PAPER_LINES}) z where not ((file_id like '%1' and pos > 200) or (file_id like '%2' and pos > 100))"
+
 #: LaTeX texts: inline and block formulas, an environment and a graphics reference, blanks that vary.
 FORMULA_TEXTS = r"""
     select concat('f', p_partkey) as file_id, p_partkey as n,

@@ -111,6 +111,8 @@ EXPORT = """
         select file_id, ord, 5, 0, 'blank', '' from headed)
     select file_id, ord, row_number() over (partition by file_id, ord order by a, b) - 1 as seq, kind, text from lines"""
 
+INGESTED = QUESTIONS.replace(X.PAPER_LINES, X.INGESTED_LINES)
+
 _ANSWERED = f"""with l as ({X.ANSWERED_LINES}),
     entry as (select file_id, pos, regexp_extract(text, '^(\\d+)', 1)::bigint as number, regexp_extract(text, '^\\d+\\. ([A-H])', 1) as answer from l where pos > 1000000 and regexp_matches(text, '^\\d+\\. ')),
     entries as (

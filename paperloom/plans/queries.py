@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from paperloom.operators.segment import clean_content, deal, deal_by_fold, look_
 from paperloom.plans import fixtures as X
 from paperloom.plans import objects
 from paperloom.plans import oracle as O
-from paperloom.session import written
-from paperloom.streaming import jobs, machine
+from paperloom.session import shared_folder, written
+from paperloom.streaming import ingest, jobs, machine
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -42,7 +43,8 @@ def options_text(options: Column) -> Column:
 
 
 def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deal(with_type(classify(X.rows(spark, sf_dir, X.PAPER_LINES))))
+    lines = written(classify(X.rows(spark, sf_dir, X.PAPER_LINES)), "classified_lines")
+    return with_type(deal(lines), lines)
 
 
 def paper(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,3 +462,24 @@ def compound_streams(spark, sf_dir):
 def job_states(spark, sf_dir):
     found = machine.final_states(X.rows(spark, sf_dir, X.JOB_STEPS))
     return found.select("file_id", "status", F.col("progress").cast("long").alias("progress"), F.col("attempts").cast("long").alias("attempts"), F.col("illegal").cast("long").alias("illegal"))
+
+
+@query(O.INGESTED + "select file_id, id, number, type, content, n_options, answer, score from questions")
+def ingested_questions(spark, sf_dir):
+    """Papers uploaded in batches: all, some shortened (that batch twice), an older upload late, more after a compaction."""
+    table = f"{shared_folder(spark)}/paperloom/{uuid.uuid4().hex}/ingested"
+    lines = written(X.rows(spark, sf_dir, X.PAPER_LINES), "uploaded_lines")
+
+    def batch(number: int, day: int, like: str, most: int) -> None:
+        part = lines.where(F.col("file_id").like(like) & (F.col("pos") <= most))
+        found = part.select("file_id").distinct().select("file_id", F.lit(f"2024-01-0{day}").cast("timestamp").alias("modified"), F.concat("file_id", F.lit(".docx")).alias("path"))
+        ingest.store_batch(table, "lines", number, found, lambda newest: (split_questions(part.join(newest, "file_id", "left_semi")), None))
+
+    batch(0, 2, "%", 1_000_000_000)
+    batch(1, 3, "%1", 200)
+    batch(1, 4, "%3", 50)
+    batch(2, 1, "%", 30)
+    ingest.compact(spark, table)
+    batch(3, 5, "%2", 100)
+    q = ingest.current_questions(spark, table)
+    return q.select("file_id", "id", F.col("number").cast("long").alias("number"), "type", "content", F.size("options").cast("long").alias("n_options"), "answer", "score")
