@@ -14,9 +14,10 @@ from paperloom.operators.classify import classify, question_number
 from paperloom.operators.options import is_latex, legacy_options, option_pairs, remainder, split_options
 from paperloom.operators.segment import clean_content, deal, deal_by_fold, look_ahead, split_questions, with_type
 from paperloom.plans import fixtures as X
-from paperloom.plans import objects
+from paperloom.plans import objects, rasters
 from paperloom.plans import oracle as O
 from paperloom.session import shared_folder, written
+from paperloom.sources.raster import with_ratios
 from paperloom.streaming import ingest, jobs, machine
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -483,3 +484,23 @@ def ingested_questions(spark, sf_dir):
     batch(3, 5, "%2", 100)
     q = ingest.current_questions(spark, table)
     return q.select("file_id", "id", F.col("number").cast("long").alias("number"), "type", "content", F.size("options").cast("long").alias("n_options"), "answer", "score")
+
+
+_RATIOS = f"""with b as ({rasters.BOXES}), r as (select *, case when not damaged then wide * 1.0::double / width end as fill, case when not damaged then high * 1.0::double / height end as tall from b)"""
+
+
+@query(_RATIOS + """ select p_partkey, damaged, case when not damaged then width end::bigint as width, case when not damaged then height end::bigint as height, case when not damaged then "left" end::bigint as left_edge,
+    case when not damaged then top end::bigint as top_edge, fill as fill_ratio, tall as height_ratio, fill < 0.72 and tall >= 0.45 as normalise from r""")
+def image_ratios(spark, sf_dir):
+    """The drawn part of images by rule, in all colour types, depths, filters and row orders."""
+    found = with_ratios(rasters.images(spark.read.parquet(f"{sf_dir}/part.parquet")))
+    return found.select("p_partkey", F.col("error").isNotNull().alias("damaged"), *[F.col(a).cast("long").alias(b) for a, b in (("width", "width"), ("height", "height"), ("left", "left_edge"), ("top", "top_edge"))], "fill_ratio", "height_ratio", "normalise")
+
+
+@query(_RATIOS + """, c as (select *, max(fill) over (partition by file_id, name) as best from r where not damaged),
+    n as (select *, row_number() over (partition by file_id, name order by p_partkey desc, concat('m', p_partkey)) as k from c where fill >= best - 0.03) select file_id, name::bigint as name, concat('m', p_partkey) as method, fill as fill_ratio from n where k = 1""")
+def ranked_images(spark, sf_dir):
+    """The best image of each name, by the ratios read from the images themselves."""
+    found = with_ratios(rasters.images(spark.read.parquet(f"{sf_dir}/part.parquet")))
+    candidates = found.select("file_id", "name", F.concat(F.lit("m"), "p_partkey").alias("method"), F.col("error").isNull().alias("success"), F.col("p_partkey").alias("size"), "fill_ratio")
+    return stats.rank_conversions(candidates).select("file_id", F.col("name").cast("long").alias("name"), "method", "fill_ratio")
