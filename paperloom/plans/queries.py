@@ -210,6 +210,33 @@ def contains_match(spark, sf_dir):
     return lookup.match_images(X.rows(spark, sf_dir, IMAGE_REFS), X.rows(spark, sf_dir, X.MEDIA)).select("file_id", "image_ref", "n", "image_filename")
 
 
+PREVIEWS = "select p_brand as file_id, concat('image', p_partkey, '.png') as original_filename, concat(p_brand, '_preview', p_partkey, '.png') as filename, -p_partkey as p_partkey from part where p_partkey % 3 = 0"
+
+
+@query(f"with m as ({X.MEDIA}), p as ({PREVIEWS}) select file_id, original_filename, coalesce(p.filename, m.filename) as filename, coalesce(p.p_partkey, m.p_partkey)::bigint as p_partkey from m full join p using (file_id, original_filename)")
+def media_merge(spark, sf_dir):
+    merged = lookup.merged_media(X.rows(spark, sf_dir, X.MEDIA), X.rows(spark, sf_dir, PREVIEWS))
+    return merged.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+#: Paths of media, some of which begin or contain others, and pages that name them; a URL may hold another path.
+PATHS = """
+    select file_id, path, max(url) as url from (
+        select p_brand as file_id, concat('media/image', p_size) as path, concat('/api/', p_brand, '/image', p_size) as url from part
+        union all
+        select p_brand, concat('media/image', p_size, '.png'), concat('/api/media/image', p_size + 1, '.png') from part where p_partkey % 2 = 0
+    ) x group by file_id, path"""
+PATH_PAGES = "select p_brand as file_id, p_partkey, concat('<p><img src=', chr(34), 'media/image', p_size, '.png', chr(34), '><img src=', chr(34), 'media/image', p_size + 1, chr(34), '> ', p_name, ' ', chr(34), 'media/image', chr(34), '</p>') as html from part"
+
+
+@query(rf"""with m as ({PATHS}), g as (select *, string_split(html, chr(34)) as p from ({PATH_PAGES})),
+    t as (select file_id, p_partkey, unnest(p) as token, generate_subscripts(p, 1) as i from g),
+    b as (select t.file_id, t.p_partkey, t.i, any_value(t.token) as token, arg_max(m.path, length(m.path)) as path, arg_max(m.url, length(m.path)) as url from t left join m on m.file_id = t.file_id and starts_with(t.token, m.path) group by 1, 2, 3)
+    select file_id, p_partkey, string_agg(case when path is null then token else url || substr(token, length(path) + 1) end, chr(34) order by i) as html from b group by 1, 2""")
+def path_rewriting(spark, sf_dir):
+    return lookup.rewrite_paths(X.rows(spark, sf_dir, PATH_PAGES), X.rows(spark, sf_dir, PATHS)).select("file_id", "p_partkey", "html")
+
+
 @query(f"with f as ({IMAGE_REFS}), m as ({X.MEDIA}), b as (select f.n, m.file_id, m.filename, row_number() over (partition by f.n order by m.filename <> f.image_ref, m.filename) as k from f join m on f.file_id = m.file_id and contains(m.filename, f.image_ref)) select file_id, filename from m where regexp_matches(lower(filename), '\\.(png|jpg|jpeg|svg|gif)$') and not exists (select 1 from b where b.k = 1 and b.file_id = m.file_id and b.filename = m.filename)")
 def unreferenced_media(spark, sf_dir):
     media = X.rows(spark, sf_dir, X.MEDIA)
@@ -374,8 +401,8 @@ def job_completed(spark, sf_dir):
 def image_distinct(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.concat(F.lit("image"), (F.col("l_partkey") % 5).cast("string"), F.lit(".png"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", name.alias("name")))), lambda s: s["name"])
-    return lines.groupBy("o_custkey").agg(F.array_join(F.array_distinct(ordered), ",").alias("images"))
+    found = lookup.distinct_names(lines.select("o_custkey", name.alias("name"), "l_orderkey", "l_linenumber"), "o_custkey", "name", "l_orderkey", "l_linenumber", "name")
+    return found.select("o_custkey", F.array_join("names", ",").alias("images"))
 
 
 CONVERSIONS = "select p_brand as file_id, p_size as name, concat('m', p_partkey) as method, p_partkey % 6 <> 0 as success, p_partkey as size, (p_partkey % 50) / 50.0 as fill_ratio from part"
