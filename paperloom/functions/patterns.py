@@ -46,6 +46,17 @@ def lead(start: str) -> str:
     return rf"(?Uds){start}\s*(.+?)(?=【|$)"
 
 
-# Older dialects: question numbers with other punctuation, and headers in other forms.
-LEGACY_NUMBERS = (r"^\s*(\d+)\s*[.、．:：,，]\s*", r"^\s*[\(（]\s*(\d+)\s*[\)）]\s*", r"^\s*(\d+)\s*[\)）]\s*", r"^\s*第\s*(\d+)\s*题[.、．:：]?\s*", r"(?i)^\s*Question\s+(\d+)[.:]?\s*", r"(?i)^\s*Q\s*(\d+)[.:]?\s*")
-LEGACY_HEADER = rf"{FLAGS}^(?:Part\s+[A-Z]\s*[:：]?\s*)?({'|'.join(HEADER_TYPES)})\s*(?:[\(（].*)?$"
+# Question numbers and section headers of older papers, in order of precedence.
+LEGACY_NUMBERS = (
+    r"^\s*(\d+)\s*[.、．,，:：]\s*",
+    r"^\s*[(（](\d+)[)）]\s*",
+    r"^\s*(\d+)\s*\)\s*",
+    r"^\s*第\s*(\d+)\s*题",
+    r"^\s*Question\s*(\d+)",
+    r"^\s*Q(\d+)",
+)
+LEGACY_HEADERS = (
+    rf"^[一二三四五六七八九十]+[、.]\s*({'|'.join(HEADER_TYPES)})",
+    r"^Part\s*[A-D]\s*[:：]?\s*(选择题|单选题|多选题|填空题)",
+    r"^(选择题|单选题|多选题|填空题)\s*[(（][^)）]*[)）]",
+)

@@ -9,9 +9,14 @@ from paperloom.functions import patterns as P
 from paperloom.functions.text import digits, strip
 
 
-def header_word(line: Column) -> Column:
+def _captured(line: Column, patterns: tuple[str, ...]) -> Column:
+    """What the first of ``patterns`` that matches captures, else null."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(line, P.FLAGS + p, 1), F.lit("")) for p in patterns])
+
+
+def header_word(line: Column, legacy: bool = False) -> Column:
     """The type word of a section header, else null."""
-    return F.nullif(F.regexp_extract(line, P.HEADER, 1), F.lit(""))
+    return _captured(line, P.LEGACY_HEADERS) if legacy else F.nullif(F.regexp_extract(line, P.HEADER, 1), F.lit(""))
 
 
 def header_type(word: Column) -> Column:
@@ -37,41 +42,46 @@ def analysis_text(line: Column) -> Column:
 
 def score_value(line: Column) -> Column:
     """Points named by the first score pattern that matches, else null."""
-    found = [F.nullif(F.regexp_extract(line, P.FLAGS + p, 1), F.lit("")) for p in P.SCORES]
-    return digits(F.coalesce(*found)).cast("double")
+    return digits(_captured(line, P.SCORES)).cast("double")
 
 
 def question_number(line: Column, legacy: bool = False) -> Column:
-    found = [F.nullif(F.regexp_extract(line, P.FLAGS + p if not p.startswith("(?i)") else "(?Udi)" + p[4:], 1), F.lit("")) for p in P.LEGACY_NUMBERS] if legacy else [F.nullif(F.regexp_extract(line, P.NUMBER, 1), F.lit(""))]
-    return digits(F.coalesce(*found))
+    return digits(_captured(line, P.LEGACY_NUMBERS) if legacy else F.nullif(F.regexp_extract(line, P.NUMBER, 1), F.lit("")))
 
 
-def after_number(line: Column) -> Column:
-    return strip(F.regexp_replace(line, P.NUMBER, ""))
+def after_number(line: Column, legacy: bool = False) -> Column:
+    """The stripped line without its question number."""
+    out = F.regexp_replace(line, P.NUMBER, "")
+    if legacy:
+        out = line
+        for p in reversed(P.LEGACY_NUMBERS):
+            out = F.when(F.regexp_like(line, F.lit(P.FLAGS + p)), F.regexp_replace(line, P.FLAGS + p, "")).otherwise(out)
+    return strip(out)
 
 
 def has_content(items: Column) -> Column:
     return F.coalesce(F.exists(items, lambda x: x["type"].isin("image", "latex", "latex_block")), F.lit(False))
 
 
-def classify(lines: DataFrame) -> DataFrame:
+def classify(lines: DataFrame, legacy: bool = False) -> DataFrame:
     """``lines`` (file_id, pos, text, optionally content_items) with line and flag.
 
     flag: blank, header, marker, answer, analysis, or text for lines that no rule takes by themselves; these also have
     score (points named) and number (of a question), either of which may be null. Rules are tried in this order.
+    ``legacy``: headers and numbers of older papers, which know no markers.
     """
     content = has_content(F.col("content_items")) if "content_items" in lines.columns else F.lit(False)
     line = F.col("line")
     out = lines.withColumn("line", strip(F.coalesce("text", F.lit(""))))
-    out = out.withColumn("header_word", header_word(line)).withColumn("answer_text", answer_text(line)).withColumn("analysis_text", analysis_text(line))
+    out = out.withColumn("header_word", header_word(line, legacy)).withColumn("answer_text", answer_text(line)).withColumn("analysis_text", analysis_text(line))
     flag = (
         F.when((line == "") & ~content, "blank")
         .when(F.col("header_word").isNotNull(), "header")
-        .when(F.regexp_like(line, F.lit(P.MARKER)), "marker")
+        .when(F.lit(False) if legacy else F.regexp_like(line, F.lit(P.MARKER)), "marker")
         .when(F.col("answer_text").isNotNull(), "answer")
         .when(F.col("analysis_text").isNotNull(), "analysis")
         .otherwise("text")
     )
     out = out.withColumn("flag", flag)
     free = F.col("flag") == "text"
-    return out.withColumns({"score": F.when(free, score_value(line)), "number": F.when(free, question_number(line))})
+    return out.withColumns({"score": F.when(free, score_value(line)), "number": F.when(free, question_number(line, legacy))})

@@ -45,7 +45,7 @@ def deal_by_windows(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
 
     A segmented scan: each chunk is summed up (questions it starts, whether it leaves one open), the chunks' rows are
     scanned by paper, and lines are dealt inside their chunks. So only a row a chunk, never a paper, is in one task.
-    Rows without file_id or pos are left out.
+    scored: the question that is open before the line, for which the points of older papers count. Rows without file_id or pos are left out.
     """
     out = with_chunk(lines).withColumn("_part", F.sum((F.col("flag") == "header").cast("int")).over(chunk_order()))
     numbered = F.col("number").isNotNull()
@@ -75,7 +75,8 @@ def deal_by_windows(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
         .otherwise("orphan")
     )
     owned = open_ & ~F.col("flag").isin("blank", "header")
-    return out.withColumn("kind", kind).withColumn("ord", F.when(owned, F.col("_ord")).cast("int")).drop("_chunk", "_part", "_first", "_entered", "_base", "_start", "_ord")
+    before = F.when(F.col("_start") & (within | (F.col("pos") > F.col("_first"))), F.col("_ord") - 1).when(~F.col("_start") & owned, F.col("_ord"))
+    return out.withColumns({"kind": kind, "ord": F.when(owned, F.col("_ord")).cast("int"), "scored": before.cast("int")}).drop("_chunk", "_part", "_first", "_entered", "_base", "_start", "_ord")
 
 
 # What a deciding line does: a state is 2 * (the answer section has begun) + (a question is open).
@@ -186,18 +187,19 @@ def deal_by_fold(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
     return out.withColumns({"kind": F.coalesce("_kind", kind), "ord": owner.cast("int")}).drop("_chunk", "_kind", "_owner", "_open", "_current", "_state", "_base")
 
 
-def deal(lines: DataFrame, score_consumes: bool = True) -> DataFrame:
+def deal(lines: DataFrame, score_consumes: bool = True, legacy: bool = False) -> DataFrame:
     """Classified lines with kind and ord: by windows where a paper has no answer section, else by the fold.
 
     Both ways and the choice between them read the lines: give them written. Entries of the answer section come with
-    entry_answer and entry_analysis.
+    entry_answer and entry_analysis. ``legacy``: older papers have no answer section.
     """
     answered = lines.where(F.col("flag") == "marker").select("file_id").distinct()
     none = {"entry_answer": F.lit(None).cast("string"), "entry_analysis": F.lit(None).cast("string")}
-    if answered.isEmpty():
+    if legacy or answered.isEmpty():
         return deal_by_windows(lines, score_consumes).withColumns(none)
     plain = deal_by_windows(lines.join(answered, "file_id", "left_anti"), score_consumes).withColumns(none)
-    return plain.unionByName(look_ahead(deal_by_fold(lines.join(answered, "file_id", "left_semi"), score_consumes)))
+    folded = deal_by_fold(lines.join(answered, "file_id", "left_semi"), score_consumes)
+    return plain.unionByName(look_ahead(folded.withColumn("scored", F.when(F.col("kind") == "continuation", F.col("ord")))))
 
 
 def look_ahead(lines: DataFrame) -> DataFrame:
@@ -250,26 +252,32 @@ def with_type(lines: DataFrame, read: DataFrame | None = None) -> DataFrame:
     return lines.withColumn("type_name", F.coalesce(word, F.lit(""))).withColumn("type", F.coalesce(header_type(F.nullif("type_name", F.lit(""))), F.lit("unknown"))).drop("_chunk", "_word")
 
 
-def split_questions(lines: DataFrame, score_consumes: bool = True, compat: bool = False) -> DataFrame:
+def split_questions(lines: DataFrame, score_consumes: bool = True, compat: bool = False, legacy: bool = False) -> DataFrame:
     """Lines of papers (file_id, pos, text, and optionally content_items) into one row for each question.
 
     Columns: file_id, id, ord, number, type, type_name, content, content_html, options, answer, analysis, score,
-    difficulty, images, latex_formulas. ``score_consumes=False``: a line with points may still start a question.
-    ``compat``: markup as older output had it.
+    difficulty, images, latex_formulas. ``score_consumes=False``: a line with points is dealt as any other, its points
+    count for the question open before it (in papers with an answer section those of a question's first line don't count).
+    ``compat``: markup as older output had it. ``legacy``: papers of the older form, with their headers and numbers and
+    without an answer section, and ``score_consumes=False``.
+    Options are told by the same rule in both forms.
     """
+    score_consumes = score_consumes and not legacy
     if "content_items" not in lines.columns:
         item = "array<struct<type: string, text: string, image: struct<type: string, rel_id: string, filename: string, original_filename: string>>>"
         image = F.lit(None).cast("struct<type: string, rel_id: string, filename: string, original_filename: string>")
         lines = lines.withColumn("content_items", F.array(F.struct(F.lit("text").alias("type"), F.col("text"), image.alias("image"))).cast(item))
     lines = lines.where((F.col("file_id").isNotNull()) & F.col("pos").isNotNull())
-    flagged = classify(lines)
+    flagged = classify(lines, legacy)
     # Headers count for the sticky type only where they are headers.
     flagged = flagged.withColumn("header_word", F.when(F.col("flag") == "header", F.col("header_word")))
     # What a line alone tells is worked out before the lines move: a numbered line is never a continuation.
-    body = F.when(F.col("flag") == "text", F.when(F.col("number").isNotNull(), after_number(F.col("line"))).otherwise(F.col("line")))
+    body = F.when(F.col("flag") == "text", F.when(F.col("number").isNotNull(), after_number(F.col("line"), legacy)).otherwise(F.col("line")))
     flagged = flagged.withColumn("_body", body).withColumn("_options", F.when(F.col("_body").isNotNull(), split_options(F.col("_body"))))
     flagged = written(flagged, "classified_lines")
-    dealt = with_type(deal(flagged, score_consumes), flagged).where("ord is not null")
+    dealt = with_type(deal(flagged, score_consumes, legacy), flagged)
+    points = dealt.where("score is not null and scored is not null").groupBy("file_id", F.col("scored").alias("ord")).agg(F.max_by("score", "pos").alias("_points")) if not score_consumes else None
+    dealt = dealt.where("ord is not null")
     stands = F.col("kind").isin("start", "continuation")
     rows = dealt.withColumns({c: F.when(stands, F.col(c)) for c in ("_body", "_options")})
     has_options = F.coalesce(F.size("_options") > 0, F.lit(False))
@@ -317,6 +325,8 @@ def split_questions(lines: DataFrame, score_consumes: bool = True, compat: bool
         first_entry("entry_analysis").alias("_entry_analysis"),
         F.max((kind == "merge").cast("int")).alias("_merged"),
     )
+    if points is not None:
+        grouped = grouped.join(points, ["file_id", "ord"], "left").withColumn("score", F.col("_points"))
     guessed = (F.col("_type") == "unknown") & (F.size("options") > 0)
     late = F.array_distinct(F.flatten(F.transform("options", lambda o: o["images"])))
     either = lambda own, entry: F.coalesce(F.nullif(F.col(own), F.lit("")), F.col(entry), F.col(own), F.when(F.col("_merged") == 1, ""))

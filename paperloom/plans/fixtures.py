@@ -43,6 +43,23 @@ ANSWERED_LINES = f"""
         select p_brand, cast(1000000 + rn * 10 + 3 as bigint), '故选 A' from ({PARTS}) h where p_partkey % 3 = 0
     ) x"""
 
+#: Papers of the older form: three forms of headers and a line that looks like one, six forms of numbers, points at the
+#: start of a question or on lines of their own, and a line that newer papers would take for a marker.
+OLDER_LINES = f"""
+    select file_id, cast(rn * 10 + k as bigint) as pos, text from (
+        select p_brand as file_id, rn, 0 as k, case (rn - 1) % 25 when 0 then 'Part A：选择题' when 5 then '填空题（每题5分）' when 10 then '三、解答题' when 15 then 'Part  B 多选题（共）' else 'Part E: 选择题' end as text from ({PARTS}) a where (rn - 1) % 5 = 0
+        union all
+        select p_brand, rn, 1, concat(case rn % 6 when 0 then concat(rn, '，') when 1 then concat('（', rn, '） ') when 2 then concat(rn, ' ) ') when 3 then concat('第 ', rn, '题') when 4 then concat('Question', rn, ' ') else concat('Q', rn, ' ') end, p_name, case when p_partkey % 7 = 0 then concat('（', p_size, '分）') else '' end) from ({PARTS}) b
+        union all
+        select p_brand, rn, 2, concat('A. ', p_type, ' B．$x_{{', p_size, '}}$  C、', p_brand) from ({PARTS}) c where p_partkey % 3 = 0
+        union all
+        select p_brand, rn, 3, concat('（', p_size % 10 + 1, '分）') from ({PARTS}) d where p_partkey % 4 = 0
+        union all
+        select p_brand, rn, 4, '参考答案' from ({PARTS}) e where p_partkey % 9 = 0
+        union all
+        select p_brand, rn, 5, concat('【答案】 ', case p_partkey % 3 when 0 then 'A' when 1 then 'B' else 'C' end, '【解析】略') from ({PARTS}) f where p_partkey % 2 = 0
+    ) x"""
+
 #: The lines of papers once some of them were uploaded again, shortened.
 INGESTED_LINES = f"select * from ({PAPER_LINES}) z where not ((file_id like '%1' and pos > 200) or (file_id like '%2' and pos > 100))"
 

@@ -51,14 +51,18 @@ def lead(starts: tuple[str, ...], x: str) -> str:
 TYPES = "case header_word " + " ".join(f"when '{w}' then '{t}'" for w, t in P.HEADER_TYPES.items()) + " end"
 
 
-def flagged(source: str) -> str:
+def flagged(source: str, legacy: bool = False) -> str:
     number = rf"try_cast(nullif(regexp_extract(line, '^{B}*(\d+){B}*{DOT}{B}*', 1), '') as bigint)"
+    header = rf"nullif(regexp_extract(line, '^[一二三四五六七八九十]+{DOT}{B}*({'|'.join(P.HEADER_TYPES)})', 1), '')"
+    if legacy:
+        number = "try_cast(coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{p}', 1), '')" for p in P.LEGACY_NUMBERS) + ") as bigint)"
+        header = "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{p}', 1), '')" for p in P.LEGACY_HEADERS) + ")"
     score = "coalesce(" + ", ".join(rf"nullif(regexp_extract(line, '{p}', 1), '')" for p in P.SCORES) + ")"
     return f"""with source as ({source}),
     lined as (select file_id, pos, {strip("coalesce(text, '')")} as line from source),
     marked as (
-        select *, nullif(regexp_extract(line, '^[一二三四五六七八九十]+{DOT}{B}*({"|".join(P.HEADER_TYPES)})', 1), '') as header_word,
-            regexp_matches(line, '^({"|".join(P.MARKERS)})') or regexp_matches(line, '^[^\\n]*({"|".join(P.MARKERS_ANYWHERE)})[^\\n]*$') as marker,
+        select *, {header} as header_word,
+            {not legacy} and regexp_matches(line, '^({"|".join(P.MARKERS)})') or {not legacy} and regexp_matches(line, '^[^\\n]*({"|".join(P.MARKERS_ANYWHERE)})[^\\n]*$') as marker,
             {lead(P.ANSWER_LEADS, "line")} as answer_text, {lead(P.ANALYSIS_LEADS, "line")} as analysis_text
         from lined),
     flagged0 as (
@@ -69,9 +73,7 @@ def flagged(source: str) -> str:
 
 
 FLAGGED = flagged(X.PAPER_LINES)
-DEALT = (
-    FLAGGED
-    + f"""
+DEAL = f"""
     , typed as (select *, coalesce(last_value(header_word ignore nulls) over w, '') as type_name, coalesce(last_value({TYPES} ignore nulls) over w, 'unknown') as type, sum((flag = 'header')::int) over w as section from flagged window w as (partition by file_id order by pos rows unbounded preceding)),
     firsts as (select *, min(case when number is not null then pos end) over (partition by file_id, section) as first_pos from typed),
     started as (select *, number is not null and (pos = first_pos or score is null) as is_start, first_pos is not null and pos >= first_pos as is_open from firsts),
@@ -81,10 +83,8 @@ DEALT = (
             case when is_open and flag not in ('blank', 'header') then q end::bigint as ord
         from dealt0)
     """
-)
-QUESTIONS = (
-    DEALT
-    + rf""", bodies as (select *, case when kind = 'start' then {strip(rf"regexp_replace(line, '^{B}*\d+{B}*{DOT}{B}*', '')")} when kind = 'continuation' then line end as body from dealt where ord is not null),
+DEALT = FLAGGED + DEAL
+SPLIT = rf""", bodies as (select *, case when kind = 'start' then {strip(rf"regexp_replace(line, '^{B}*\d+{B}*{DOT}{B}*', '')")} when kind = 'continuation' then line end as body from dealt where ord is not null),
     split as (select *, {pieces("body")} as p from bodies),
     parts as (
         select *, case when kind = 'start' and len(p) > 1 then {strip("p[1]")} when kind = 'start' or (kind = 'continuation' and len(p) = 1) then body end as piece, case when len(p) > 1 then {joined("p")} end as opts, case when len(p) > 1 then len(p) - 1 else 0 end as n from split),
@@ -98,6 +98,17 @@ QUESTIONS = (
             {cleaned("c")} as content, n_options, option_text, answer, analysis, score
         from grouped)
     """
+QUESTIONS = DEALT + SPLIT
+_NUMBERED = rf"regexp_replace(line, '^{B}*\d+{B}*{DOT}{B}*', '')"
+_OLDER_NUMBERED = "case " + " ".join(f"when regexp_matches(line, '{p}') then regexp_replace(line, '{p}', '')" for p in P.LEGACY_NUMBERS) + " end"
+OLDER_QUESTIONS = (
+    flagged(X.OLDER_LINES, legacy=True)
+    + DEAL.replace("(pos = first_pos or score is null)", "true").replace("score is not null and is_open then 'score'", "false then 'score'")
+    + SPLIT.replace(_NUMBERED, _OLDER_NUMBERED)
+    + """, points as (
+        select file_id, case when not is_start then q when pos > first_pos then q - 1 end as ord, arg_max(score, pos) as points
+        from dealt where score is not null and is_open group by 1, 2)
+    select file_id, id, number, type, content, n_options, answer, points as score from questions left join points using (file_id, ord)"""
 )
 EXPORT = """
     , headed as (select *, case when type_name <> '' and type_name is distinct from lag(nullif(type_name, '') ignore nulls) over (partition by file_id order by ord) then type_name end as header from questions),

@@ -405,6 +405,13 @@ def image_distinct(spark, sf_dir):
     return found.select("o_custkey", F.array_join("names", ",").alias("images"))
 
 
+@query(O.OLDER_QUESTIONS)
+def older_questions(spark, sf_dir):
+    """Papers of the older form: their headers, all six forms of numbers, and points that take no line away."""
+    q = split_questions(X.rows(spark, sf_dir, X.OLDER_LINES), legacy=True)
+    return q.select("file_id", "id", F.col("number").cast("long").alias("number"), "type", "content", F.size("options").cast("long").alias("n_options"), "answer", "score")
+
+
 CONVERSIONS = "select p_brand as file_id, p_size as name, concat('m', p_partkey) as method, p_partkey % 6 <> 0 as success, p_partkey as size, (p_partkey % 50) / 50.0 as fill_ratio from part"
 
 
