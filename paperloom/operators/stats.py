@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,30 @@ def paper_stats(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.groupBy("file_id").agg(F.count("*").alias("total_paragraphs"), F.count_if(n > 0).alias("total_formula_paragraphs"), F.sum(n).cast("long").alias("total_formulas"), *flags)
 
 
+def observed_paragraphs(paragraphs: DataFrame, name: str = "paragraphs") -> tuple[DataFrame, Observation]:
+    """``paragraphs`` unchanged, and the totals of ``paper_stats`` over all files, counted while they are read.
+
+    ``.get`` of the observation has them once the first action on the returned rows ends, without a job of its own: write
+    the rows and use what was written. Of no rows all totals are 0.
+    """
+    told = Observation(name)
+    n = F.coalesce(F.size("latex_formulas"), F.lit(0))
+    flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("has_omml", "has_vml_shapes") if c in paragraphs.columns]
+    totals = [F.count(F.lit(1)).alias("total_paragraphs"), F.count_if(n > 0).alias("total_formula_paragraphs"), F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias("total_formulas"), *flags]
+    return paragraphs.observe(told, *totals), told
+
+
+def observed_questions(questions: DataFrame, name: str = "questions") -> tuple[DataFrame, Observation]:
+    """``questions`` unchanged, and their number and how many have options, an answer, an analysis, points and formulas; see ``observed_paragraphs``."""
+    told = Observation(name)
+    present = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    totals = {
+        "total_questions": F.count(F.lit(1)), "with_options": F.count_if(F.size("options") > 0), "with_answer": F.count_if(present("answer")),
+        "with_analysis": F.count_if(present("analysis")), "with_score": F.count_if(F.col("score").isNotNull()), "formula_count": F.coalesce(F.sum(F.greatest(F.size("latex_formulas"), F.lit(0)).cast("long")), F.lit(0)),
+    }
+    return questions.observe(told, *[c.alias(k) for k, c in totals.items()]), told
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0))
 

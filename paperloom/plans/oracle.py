@@ -151,6 +151,31 @@ def formulas(source: str, pattern: str, text: str) -> str:
 BLOCKS = rf"""with b as (select page_id, unnest(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)) as c from pages)
     select page_id, 'p' as tag, {strip("regexp_replace(c, '<[^>]+>', '', 'g')")} as text from b where {strip("regexp_replace(c, '<[^>]+>', '', 'g')")} <> ''"""
 
+_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div")
+_ANY_BLOCK = "|".join(rf"<{t}[^>]*>.*?</{t}>" for t in _TAGS)
+ALL_BLOCKS = rf"""with b as (select page_id, regexp_extract_all(html, '(?is){_ANY_BLOCK}') as w from pages), e as (select page_id, unnest(w) as w, generate_subscripts(w, 1) as i from b),
+    s as (select page_id, i, lower(regexp_extract(w, '(?i)^<({"|".join(_TAGS)})', 1)) as tag, regexp_extract(w, '(?s)^<[^>]*>(.*)</[^>]*>$', 1) as content_html from e),
+    t as (select *, {strip("regexp_replace(content_html, '<[^>]+>', '', 'g')")} as text from s)
+    select page_id, row_number() over (partition by page_id order by i) - 1 as part, tag, content_html, text from t where text <> '' or contains(content_html, '<img') or contains(content_html, 'math/tex')"""
+
+_REPORTED = {
+    "inline": (r"\$([^$]+?)\$", "replace(latex_text, '$$', chr(1))"),
+    "block": (r"(?s)\$\$(.*?)\$\$", "latex_text"),
+    "environment": (r"(?s)\\begin\{(?:equation|align)\}(.*?)\\end\{(?:equation|align)\}", "latex_text"),
+}
+FORMULA_REPORT = f"""with d as ({X.FORMULA_TEXTS}),
+    a as (
+        {" union all ".join(f"select file_id, '{kind}' as type, latex, null as image_ref from ({formulas('select * from d', *how)})" for kind, how in _REPORTED.items())} union all
+        select file_id, 'image_ref', '', unnest(regexp_extract_all(latex_text, '\\\\includegraphics(?:\\[[^\\]]*\\])?\\{{([^}}]+)\\}}', 1)) from d),
+    h as (select a.*, d.n, case when latex <> '' then substr(sha256({strip(one_blank("latex"))}), 1, 16) end as hash, 'image' || d.n % 50 || '.png' as medium from a join d using (file_id)),
+    c as (select distinct hash from h where n % 4 = 0 and hash is not null),
+    r as (
+        select file_id, type, latex, case when contains(medium, image_ref) then medium end as image_filename, hash, case when hash is not null then case when c.hash is null then 'source_only' else 'cached' end end as status, c.hash is not null as cached
+        from h left join c using (hash)
+        union all
+        select file_id, 'image_only', '', 'image' || n % 50 || '.png', null, 'fallback_image', false from d where not exists (select 1 from h where h.file_id = d.file_id and contains(h.medium, h.image_ref)))
+    select *, case status when 'cached' then 'image_first' when 'source_only' then 'latex_first' when 'fallback_image' then 'image_only' end as strategy from r"""
+
 JOB_STATES = f"""with recursive e as (select *, row_number() over (partition by file_id order by ts, seq) as n from ({X.JOB_STEPS})),
     s as (
         select distinct file_id, 0::bigint as n, null::varchar as status, 0::bigint as progress, 0::bigint as attempts, 0::bigint as illegal, null::timestamp as deadline from e

@@ -14,7 +14,7 @@ from paperloom.operators.classify import classify, question_number
 from paperloom.operators.options import is_latex, legacy_options, option_pairs, remainder, split_options
 from paperloom.operators.segment import clean_content, deal, deal_by_fold, look_ahead, split_questions, with_type
 from paperloom.plans import fixtures as X
-from paperloom.plans import objects, rasters
+from paperloom.plans import markup, objects, rasters
 from paperloom.plans import oracle as O
 from paperloom.session import shared_folder, written
 from paperloom.sources.raster import with_ratios
@@ -327,6 +327,21 @@ def paper_stats(spark, sf_dir):
     return stats.paper_stats(lines)
 
 
+@query(O.QUESTIONS + """, l as (select len(regexp_extract_all(text, '\\$([^$]+)\\$')) as n from source),
+    r as (select count(*) as total_paragraphs, count(*) filter (where n > 0) as total_formula_paragraphs, coalesce(sum(n), 0)::bigint as total_formulas from l),
+    s as (select count(*) as total_questions, count(*) filter (where n_options > 0) as with_options, count(*) filter (where answer <> '') as with_answer, count(*) filter (where analysis <> '') as with_analysis, count(score) as with_score from questions)
+    select * from r, s""")
+def reading_totals(spark, sf_dir):
+    """Totals of lines and questions that are counted in passing, while papers are read and split."""
+    lines = X.rows(spark, sf_dir, X.PAPER_LINES).withColumn("latex_formulas", F.transform(tex.inline_formulas(F.col("text")), lambda f: f["latex"]))
+    seen, read = stats.observed_paragraphs(lines)
+    made, split = stats.observed_questions(split_questions(written(seen, "read_lines").drop("latex_formulas")))
+    written(made, "split_questions")
+    totals = {**read.get, **split.get}
+    names = ["total_paragraphs", "total_formula_paragraphs", "total_formulas", "total_questions", "with_options", "with_answer", "with_analysis", "with_score"]
+    return spark.range(1).select(*[F.lit(totals[k]).cast("long").alias(k) for k in names])
+
+
 @query("with t as (select lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9:]*)', 1))) as tag from pages) select tag, count(*) as count from t group by 1 order by count desc, tag limit 20")
 def tag_histogram(spark, sf_dir):
     return stats.tag_histogram(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -348,11 +363,11 @@ def page_blocks(spark, sf_dir):
     return pages.select("page_id", F.explode(html.blocks(F.col("html"))).alias("b")).select("page_id", "b.tag", "b.text").where("tag = 'p'")
 
 
-@query()
+@query(O.ALL_BLOCKS)
 def page_blocks_all(spark, sf_dir):
     """Paragraphs, headings and divisions in their order; page_blocks are its paragraphs, as far as its one-tag SQL goes."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.posexplode(html.blocks(F.col("html"))).alias("part", "b")).select("page_id", "part", "b.tag", "b.content_html", "b.text")
+    return pages.select("page_id", F.posexplode(html.blocks(F.col("html"))).alias("part", "b")).select("page_id", F.col("part").cast("long").alias("part"), "b.tag", "b.content_html", "b.text")
 
 
 MATH_PAGES = "select p_partkey, concat('<p>', p_name, '<script type=\"math/tex\">x_', p_size, ' </script></p><script type=\"math/tex; mode=display\"> y^', p_size, '</script><script>var a</script>') as html from part"
@@ -420,7 +435,7 @@ def conversion_rank(spark, sf_dir):
     return stats.rank_conversions(X.rows(spark, sf_dir, CONVERSIONS).withColumn("name", F.col("name"))).select("file_id", "name", "method")
 
 
-@query()
+@query(O.FORMULA_REPORT)
 def formula_report(spark, sf_dir):
     docs = X.rows(spark, sf_dir, X.FORMULA_TEXTS)
     media = docs.select("file_id", F.concat(F.lit("image"), F.col("n") % 50, F.lit(".png")).alias("filename"))
@@ -428,7 +443,7 @@ def formula_report(spark, sf_dir):
     return formulas.formula_report(docs, media, cache).select("file_id", "type", "latex", "image_filename", "hash", "status", "cached", "guidance.strategy")
 
 
-@query()
+@query(r"select p_partkey, '\frac{\alpha}{' || p_size || '}' as latex from part")
 def omml_latex(spark, sf_dir):
     from paperloom.functions.omml import with_latex
 
@@ -437,6 +452,16 @@ def omml_latex(spark, sf_dir):
     return with_latex(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", xml.alias("xml"))).select("p_partkey", "latex")
 
 
+@query(f"select p_partkey, {markup.LATEX} as latex from part")
+def omml_structures(spark, sf_dir):
+    """Sixteen structures of formula markup in turn, from plain runs to matrices."""
+    from paperloom.functions.omml import with_latex
+
+    xml = F.element_at(F.array(*[F.lit(f"<m:oMath {markup.NAMESPACE}>{xml}</m:oMath>") for xml, _ in markup.STRUCTURES]), (F.col("p_partkey") % len(markup.STRUCTURES) + 1).cast("int"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return with_latex(parts.select("p_partkey", F.replace(xml, F.lit("@"), F.col("p_size").cast("string")).alias("xml"))).select("p_partkey", "latex")
+
+
 @query()
 def exported_packages(spark, sf_dir):
     made = export.export_papers(paper(spark, sf_dir), title="试卷", watermark="A & B", include_answer=True, include_analysis=True)
@@ -464,12 +489,12 @@ def parsed_blocks(spark, sf_dir):
     return html_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("file_id"), "html"))
 
 
-@query()
+@query("select p_partkey, case when p_size % 2 = 0 then '.wmf' else '.emf' end as suffix, 4 + strlen(p_name) as size from part")
 def metafiles(spark, sf_dir):
     from paperloom.sources.media import metafile
 
     data = F.concat(F.lit("OLE").cast("binary"), F.when(F.col("p_size") % 2 == 0, F.unhex(F.lit("D7CDC69A"))).otherwise(F.lit(" EMF").cast("binary")), F.col("p_name").cast("binary"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", metafile(data).alias("m")).select("p_partkey", "m.suffix", F.octet_length("m.data").alias("size"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", metafile(data).alias("m")).select("p_partkey", "m.suffix", F.octet_length("m.data").cast("long").alias("size"))
 
 
 @query(f"select p_partkey, 'Equation Native' as stream, 5::bigint as version, {objects.LATEX} as latex, null::varchar as error from part")
