@@ -29,8 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends here and lost executors cost nothing.
+
+    ``folders``: columns by whose values the table is laid out in folders, so that reading some values opens no others.
+    """
     path = f"{shared_folder(df.sparkSession)}/paperloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
