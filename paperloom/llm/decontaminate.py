@@ -81,12 +81,17 @@ class WindowSet:
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[object, bytes]], bool]]:
-    """The distinct items, a block at a time and whether it is the last, dealt so that a block's texts have about ``limit`` bytes."""
+    """The distinct items, a block at a time and whether it is the last, dealt so that a block's texts have about ``limit`` bytes.
+
+    More than one block: the items are written once, a folder a block, and each block reads its own.
+    """
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // limit))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")
+    dealt = written(items.withColumn("_block", block), "items", "_block") if n > 1 else items.withColumn("_block", F.lit(0))
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+        rows = dealt.where(F.col("_block") == i).select("item_id", "text").collect()
         yield [(r[0], r[1].encode()) for r in rows], i == n - 1
 
 
@@ -140,11 +145,16 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
 
     docs_names = docs.columns
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    sent = []
     for i, (block, last) in enumerate(_blocks(benchmark, block_bytes)):
         windows = sc.broadcast(WindowSet(block, width))
+        sent.append(windows)
         docs = docs.mapInArrow(scan(windows, last), f"{carried}, " + (held if last else "_hits array<struct<first: int, n: int, items: array<string>>>"))
         if not last and i % CHAINED == CHAINED - 1:
             docs = written(docs, "hits")
+            # What is written needs these windows no more, not even if executors are lost.
+            while sent:
+                sent.pop().destroy()
     return bring_back(docs, names, new)
 
 

@@ -143,3 +143,19 @@ def test_other_operators_take_string_ids(spark):
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
     assert groups["copy"] == groups["d3"] == "copy"
     assert decontaminate.find_benchmark(docs, spark.createDataFrame([("i", "document number 7")], "item_id string, text string")).where("n_hit > 0").count() == 1
+
+
+def test_benchmark_blocks_are_read_once(spark):
+    """Many blocks: every item is in one of them, blocks come from their own folders, and hits equal those of one block."""
+    from paperloom.llm import decontaminate
+
+    items = spark.range(60).selectExpr("case when id = 7 then null else id end as item_id", "case when id = 9 then null else concat_ws(' ', transform(sequence(1, 12), x -> concat('w', id, '_', x))) end as text")
+    items = items.unionByName(items.limit(5))
+    blocks = list(decontaminate._blocks(items, 1500))
+    assert len(blocks) > 4 and [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
+    dealt = [x for block, _ in blocks for x in block]
+    assert len(dealt) == len(set(dealt)) == 60
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('a ', concat_ws(' ', transform(sequence(1, 12), x -> concat('w', id, '_', x))), ' b') as text")
+    found = [sorted(tuple(r[c] if c != "items" else tuple(r[c]) for c in ("doc_id", "n_hit", "items")) for r in decontaminate.find_benchmark(docs, items, block_bytes=size).collect()) for size in (1500, 1 << 23)]
+    assert found[0] == found[1]
+    assert sum(n > 0 for _, n, _ in found[0]) == 59
