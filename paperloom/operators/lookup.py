@@ -63,7 +63,8 @@ def match_images(formulas: DataFrame, media: DataFrame) -> DataFrame:
     An exact name comes first, then the smallest. An index holds each name's substrings of 1, 2, 4, 8, ... characters.
     The greatest power of two within a reference's length gives the two grams it starts and ends with, which cover it.
     A reference that is such a gram itself is answered by the smallest name of its entry; any other one meets the names
-    under the rarer of the two, and each is verified. Distinct references are matched once. A null or empty reference
+    under the rarer of the two, and each is verified. The index is joined by merge: it is much larger than the names, in
+    memory above all, so it isn't left to Spark to broadcast it. Distinct references are matched once. A null or empty reference
     names nothing; repeated and null names do no harm.
     """
     refs = formulas.where("image_ref <> '' and file_id is not null").select("file_id", "image_ref").distinct()
@@ -73,9 +74,9 @@ def match_images(formulas: DataFrame, media: DataFrame) -> DataFrame:
     ref, n = F.col("image_ref"), F.char_length("image_ref")
     size = _power_of_two(_power(n))
     probes = refs.select("file_id", "image_ref", (size == n).alias("whole"), F.explode(F.array_distinct(F.array(F.substring(ref, F.lit(1), size), F.substring(ref, n - size + 1, size)))).alias("gram"))
-    met = probes.join(entries, ["file_id", "gram"]).groupBy("file_id", "image_ref", "whole").agg(F.min(F.struct("names", "gram", "smallest")).alias("e"))
+    met = probes.join(entries.hint("merge"), ["file_id", "gram"]).groupBy("file_id", "image_ref", "whole").agg(F.min(F.struct("names", "gram", "smallest")).alias("e"))
     met = met.select("file_id", "image_ref", "whole", "e.gram", "e.smallest")
-    hit = met.where(~F.col("whole")).join(index, ["file_id", "gram"]).where(F.contains("image_filename", "image_ref"))
+    hit = met.where(~F.col("whole")).join(index.hint("merge"), ["file_id", "gram"]).where(F.contains("image_filename", "image_ref"))
     longer = hit.groupBy("file_id", "image_ref").agg(F.min("image_filename").alias("image_filename"))
     first = met.where("whole").select("file_id", "image_ref", F.col("smallest").alias("image_filename")).unionByName(longer)
     exact = names.select("file_id", F.col("image_filename").alias("image_ref"), F.lit(True).alias("_exact"))
