@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.line_dedup import ascii_lower
@@ -139,3 +139,26 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     out = messages.join(linked, ["conv_id", "turn"], "left")
     role = F.coalesce("role", F.lit("user"))
     return out.select("conv_id", "turn", "role", F.coalesce("thread", "turn").alias("thread"), "reply_to", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body", F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body")).alias("formatted"))
+
+
+#: Turns of a thread that one task holds, as a power of two, and the text of a transcript's part.
+CHUNK_BITS, PART_BYTES = 10, 1 << 20
+
+
+def transcripts(messages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The threads of ``format_chat`` as text: conv_id, thread, part, first_turn, last_turn, n_messages, transcript.
+
+    The messages of a thread stand in the order of their turns, equal turns by their text. A thread of any length is
+    given in parts, read in the order of ``part`` (numbers that grow along the thread, with gaps): a part ends with a
+    chunk of 2 ** CHUNK_BITS turns, or where its messages pass ``part_bytes``, so it is longer than that by one message at
+    most. Messages without conv_id or turn belong to no thread and are left out; messages that share a turn are ordered
+    in one task.
+    """
+    rows = messages.where("conv_id is not null and turn is not null").select("conv_id", "thread", "turn", "formatted")
+    rows = rows.withColumns({"_chunk": F.shiftright(F.col("turn").cast("long"), CHUNK_BITS), "_bytes": F.octet_length("formatted").cast("long"), "_hash": F.xxhash64("formatted")})
+    before = Window.partitionBy("conv_id", "thread", "_chunk").orderBy("turn", "_hash", "formatted").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.shiftleft(F.col("_chunk"), 32) + F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / part_bytes).cast("long")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", "_hash", "formatted"))), lambda x: x["formatted"])
+    return rows.withColumn("part", part).groupBy("conv_id", "thread", "part").agg(
+        F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n_messages"), F.array_join(ordered, "\n").alias("transcript"),
+    )

@@ -159,3 +159,21 @@ def test_benchmark_blocks_are_read_once(spark):
     found = [sorted(tuple(r[c] if c != "items" else tuple(r[c]) for c in ("doc_id", "n_hit", "items")) for r in decontaminate.find_benchmark(docs, items, block_bytes=size).collect()) for size in (1500, 1 << 23)]
     assert found[0] == found[1]
     assert sum(n > 0 for _, n, _ in found[0]) == 59
+
+
+def test_transcripts_of_threads(spark):
+    """Replies stand below what they answer; parts of long threads, joined, are the thread."""
+    from paperloom.llm import chat
+
+    rows = [("c", 0, "user", "How are you?"), ("c", 1, "bot", "Other thread"), ("c", 2, None, "> How are you?\nFine"), ("c", 3, "user", "> Fine\nGood"), ("c", None, "user", "no turn"), (None, 0, "user", "no conversation"), ("d", 0, "user", None)]
+    made = chat.format_chat(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    got = {(r["conv_id"], r["thread"]): (r["first_turn"], r["last_turn"], r["n_messages"], r["transcript"]) for r in chat.transcripts(made).collect()}
+    assert got == {("c", 0): (0, 3, 3, "<|user|>\nHow are you?\n<|user|>\nFine\n<|user|>\nGood"), ("c", 1): (1, 1, 1, "<|bot|>\nOther thread"), ("d", 0): (0, 0, 1, "<|user|>\n")}
+    long = spark.range(5000).selectExpr("'c' as conv_id", "0L as thread", "id as turn", "repeat(cast(id as string), 20) as formatted").unionByName(spark.createDataFrame([("c", 0, 7, "7x"), ("c", 0, 7, "7x")], "conv_id string, thread long, turn long, formatted string"))
+    parts = sorted(chat.transcripts(long, 10_000).collect(), key=lambda r: r["part"])
+    assert len(parts) > 20 and sum(r["n_messages"] for r in parts) == 5002
+    assert all(len(r["transcript"]) < 10_000 + 100 + r["n_messages"] for r in parts)
+    lines = "\n".join(r["transcript"] for r in parts).split("\n")
+    assert [x for x in lines if x not in ("7x", "7" * 20)] == [str(i) * 20 for i in range(5000) if i != 7]
+    assert sorted(lines[7:10]) == sorted(["7x", "7x", "7" * 20])
+    assert chat.transcripts(made.limit(0)).collect() == []
