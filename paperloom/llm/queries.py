@@ -84,7 +84,8 @@ def with_periodic_tails(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held = docs.withColumns({"_h": h, "_n": F.when(h % 10 == 0, F.size(words))})
     g = F.floor(F.col("_h") / 10)
-    held = held.withColumns({"_a": (g % F.col("_n")).cast("int"), "_k": (3 + g % 8).cast("int")})
+    # A text without words has no place to repeat from; a remainder by zero is an error.
+    held = held.withColumns({"_a": (g % F.nullif(F.col("_n"), F.lit(0))).cast("int"), "_k": (3 + g % 8).cast("int")})
     p = (1 + F.floor((F.col("_n") - F.col("_a")) / F.col("_k"))).cast("int")
     left = F.col("_n") - F.col("_a")
     tail = F.slice(F.flatten(F.array_repeat(F.slice(words, F.col("_a") + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)

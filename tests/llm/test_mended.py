@@ -177,3 +177,15 @@ def test_transcripts_of_threads(spark):
     assert [x for x in lines if x not in ("7x", "7" * 20)] == [str(i) * 20 for i in range(5000) if i != 7]
     assert sorted(lines[7:10]) == sorted(["7x", "7x", "7" * 20])
     assert chat.transcripts(made.limit(0)).collect() == []
+
+
+def test_periodic_tails_of_texts_without_words(spark):
+    from paperloom.llm.queries import with_periodic_tails
+
+    # Every tenth document by hash gets a tail; blank ones among them have no place to start it from.
+    texts = ["", " \t\n", None, "a", "a b c d e f g h"]
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.explode(F.array(*map(F.lit, texts))).alias("text"))
+    got = with_periodic_tails(docs).collect()
+    assert len(got) == 200 * len(texts)
+    assert {r["text"] for r in got} >= {"", " \t\n", None, "a", "a b c d e f g h"}
+    assert any(r["text"] not in texts for r in got)
