@@ -37,3 +37,13 @@ def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/paperloom/{uuid.uuid4().hex}/{name}"
     (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as a shuffle of the session has, for work that is heavy by the row.
+
+    Files are split by their bytes, and only between groups of rows: a million small rows may be one task's.
+    """
+    spark = df.sparkSession
+    # A number that is asked for isn't merged again by the rows' few bytes.
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

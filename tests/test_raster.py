@@ -50,3 +50,34 @@ def test_ratios_carry_other_columns(spark):
     got = [tuple(x) for x in raster.with_ratios(rows).orderBy("file_id").select("file_id", "width", "height", "left", "top", "fill_ratio", "height_ratio", "normalise").collect()]
     assert got == [("a", 20, 10, 5, 2, 0.2, 0.5, True), ("b", 20, 10, None, None, 0.0, 0.0, False), ("c", *[None] * 7), ("d", *[None] * 7)]
     assert raster.with_ratios(rows.limit(0)).count() == 0
+
+
+def test_images_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # One file with one group of rows, as small tables are: it can't be split, so all images were one task's.
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part"))
+    made = rasters.images(spark.read.parquet(str(tmp_path / "part")))
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_bands_of_rows_join(monkeypatch):
+    r = np.random.default_rng(5)
+    for colour, depth in rasters.KINDS:
+        pixels = np.zeros((37, 29, raster.SAMPLES[colour][0]), np.int64)
+        pixels[3:31, 4:20] = r.integers(0, 1 << depth, pixels[3:31, 4:20].shape)
+        for band in (1, 100, 1 << 20):
+            monkeypatch.setattr(raster, "BAND", band)
+            assert all(raster.drawn_box(rasters.png(pixels, colour, depth, interlaced, 2)) == brute_box(pixels) for interlaced in (False, True))
+
+
+def test_all_filters_undo_what_was_filtered():
+    r = np.random.default_rng(6)
+    for step in (1, 3, 8):
+        raw = r.integers(0, 256, (10, 12 * step)).astype(np.int16)
+        raw[5:] //= 100
+        held = np.frombuffer(rasters._filtered(raw, 3, step), np.uint8).reshape(10, -1)
+        above = np.zeros(12 * step, np.uint8)
+        for line, want in zip(held, raw, strict=True):
+            above = raster.unfiltered(int(line[0]), line[1:], above, step)
+            assert (above == want).all()
