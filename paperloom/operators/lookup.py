@@ -101,15 +101,18 @@ def cached_formulas(formulas: DataFrame, cache: DataFrame) -> DataFrame:
 def resolve_names(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """``requests`` (file_id, name) with path, by the first kind of name that is stored (file_id, name, path).
 
-    In order: the name itself, with the file's prefix, without it, then either at the end of any stored path.
+    In order: the name itself, with the file's prefix, without it, then either at the end of any stored path. Both joins
+    are by merge: five candidates a request are much larger than the files they come from, by whose size Spark would
+    pass them whole through the driver.
     """
     asked = requests.select("file_id", "name").distinct()
     name, file_id = F.col("name"), F.col("file_id")
     keys = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(deep).alias("deep"), k.alias("key")) for i, (deep, k) in enumerate([(False, name), (False, prefixed(name, file_id)), (False, unprefixed(name, file_id)), (True, name), (True, unprefixed(name, file_id))])])
     candidates = asked.select("file_id", "name", F.inline(keys))
     held = stored.select("file_id", F.inline(F.array(F.struct(F.lit(False).alias("deep"), F.col("name").alias("key"), "path"), F.struct(F.lit(True).alias("deep"), basename(F.col("path")).alias("key"), "path"))))
-    found = candidates.join(held, ["file_id", "deep", "key"]).groupBy("file_id", "name").agg(F.min(F.struct("rank", "path")).alias("b"))
-    return requests.join(found.select("file_id", "name", F.col("b.path").alias("path"), F.col("b.rank").alias("rank")), ["file_id", "name"], "left")
+    found = candidates.join(held.hint("merge"), ["file_id", "deep", "key"]).groupBy("file_id", "name").agg(F.min(F.struct("rank", "path")).alias("b"))
+    best = found.select("file_id", "name", F.col("b.path").alias("path"), F.col("b.rank").alias("rank"))
+    return requests.join(best.hint("merge"), ["file_id", "name"], "left")
 
 
 def export_name(name: Column) -> Column:

@@ -85,3 +85,13 @@ def test_distinct_names(spark):
     t = spark.createDataFrame([("k", "b", 2), ("k", "a", 3), ("k", "b", 1), ("k", None, 0), ("l", "x", 1)], "k string, n string, o int")
     assert {r["k"]: r["names"] for r in lookup.distinct_names(t, "k", "n", "o").collect()} == {"k": ["b", "a"], "l": ["x"]}
     assert lookup.distinct_names(t.limit(0), "k", "n", "o").collect() == []
+
+
+def test_names_are_resolved_without_a_broadcast(spark):
+    asked = spark.range(40).select(F.lit("f").alias("file_id"), F.concat(F.lit("n"), "id").alias("name"))
+    held = spark.range(0, 40, 2).select(F.lit("f").alias("file_id"), F.concat(F.lit("f_n"), "id").alias("name"), F.concat(F.lit("/d/f_n"), "id").alias("path"))
+    found = lookup.resolve_names(asked, held)
+    rows = found.orderBy("name").collect()
+    assert sum(r["path"] is not None and r["rank"] == 1 for r in rows) == 20 and len(rows) == 40
+    # The plan that ran: candidates grow with the requests, so none are sent to the driver.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
