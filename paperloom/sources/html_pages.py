@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paperloom import schemas
 
 TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "li")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+#: Characters of blocks that are handed on together, a block at least.
+BATCH_CHARS = 1 << 20
+NAMES = ["file_id", "pos", "tag", "text", "content_html", "latex_formulas", "images"]
+TYPES = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 
 class _Blocks(HTMLParser):
@@ -56,18 +60,33 @@ class _Blocks(HTMLParser):
         return sorted(self.done + self.open, key=lambda b: b["at"])
 
 
+def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)  # noqa: B023
+
+    for batch in batches:
+        for file_id, html in zip(*batch.select(["file_id", "html"]).columns, strict=True):
+            parser = _Blocks()
+            parser.feed(html.as_py() or "")
+            parser.close()
+            pos = 0
+            for b in parser.blocks():
+                text = "".join(b["text"]).strip()
+                if text or b["latex"] or b["images"]:
+                    rows.append((file_id.as_py(), pos, b["tag"], text, "".join(b["html"]), b["latex"], b["images"]))
+                    held += len(rows[-1][3]) + len(rows[-1][4])
+                    pos += 1
+                # A block holds the markup of those inside it, so a page's blocks may be much larger than the page.
+                if held > BATCH_CHARS or len(rows) >= 1000:
+                    yield made()
+                    rows, held = [], 0
+    if rows:
+        yield made()
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
     """``pages`` (file_id, html) in the HTML_BLOCKS schema; blocks without text, formulas or images are left out."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for file_id, html in zip(pdf.file_id, pdf.html, strict=True):
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser.close()
-                found = [(b["tag"], "".join(b["text"]).strip(), "".join(b["html"]), b["latex"], b["images"]) for b in parser.blocks()]
-                rows += [(file_id, pos, *b) for pos, b in enumerate(x for x in found if x[1] or x[3] or x[4])]
-            yield pd.DataFrame(rows, columns=["file_id", "pos", "tag", "text", "content_html", "latex_formulas", "images"])
-
-    return pages.select("file_id", "html").mapInPandas(parse, schemas.HTML_BLOCKS)
+    return pages.select("file_id", "html").mapInArrow(block_batches, schemas.HTML_BLOCKS)

@@ -261,3 +261,15 @@ def test_blocks_of_parsed_pages(spark):
     page = '<div><p>one <b>two</b></p><ul><li>item</li></ul></div><h2></h2><p><img src="/m/a.png"></p>'
     rows = html_pages.html_blocks(spark.createDataFrame([("f", page), ("g", None)], "file_id string, html string")).orderBy("pos").collect()
     assert [x["tag"] for x in rows] == ["div", "p", "li", "p"] and rows[1]["text"] == "one two" and rows[3]["images"]
+
+
+def test_blocks_of_nested_pages_are_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(html_pages, "BATCH_CHARS", 1000)
+    pages = pa.RecordBatch.from_pydict({"file_id": [f"f{i}" for i in range(20)], "html": ["<div>" * 30 + "x" * 50 + "</div>" * 30] * 20})
+    made = list(html_pages.block_batches(iter([pages])))
+    # Each page's 30 blocks, each with those inside it; all pages of a batch were handed on at once before.
+    assert len(made) > 20 and max(b.nbytes for b in made) < 4000
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["file_id"], r["pos"]) for r in rows] == [(f"f{i}", k) for i in range(20) for k in range(30)]
