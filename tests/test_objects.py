@@ -104,3 +104,20 @@ def test_streams_carry_columns(spark):
     got = sorted(map(tuple, ole.ole_streams(files).collect()), key=repr)
     assert [g[:4] for g in got] == [(1, "a", 2, b"xy"), (1, "b", 0, b""), (2, None, None, None)] and got[2][4]
     assert ole.ole_streams(files.limit(0)).collect() == []
+
+
+def test_objects_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # One file with one group of rows can't be split, so all objects were one task's.
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part"))
+    made = O.equation_objects(spark.read.parquet(str(tmp_path / "part")))
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_streams_in_batches_keep_their_files(spark, monkeypatch):
+    monkeypatch.setattr(ole, "BATCH_BYTES", 10)
+    files = [(i, f"n{i}", None if i % 7 == 6 else O.compound({"a": bytes([i]) * i, "b": b""})) for i in range(40)]
+    got = ole.ole_streams(spark.createDataFrame(files, "id long, name string, bytes binary").coalesce(1)).collect()
+    want = [(i, f"n{i}", s, n, d) for i, _, b in files for s, n, d in ((("a", i, bytes([i]) * i), ("b", 0, b"")) if b else ((None, None, None),))]
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
