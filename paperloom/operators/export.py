@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterable
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,47 +80,60 @@ def _watermark(text: str) -> str:
     return f"<w:hdr {NS}><w:p><w:r><w:pict>{shape}</w:pict></w:r></w:p></w:hdr>"
 
 
-def docx_bytes(lines: list[tuple[str, str]], title: str = "", watermark: str = "", images: dict[str, bytes] | None = None) -> bytes:
-    """A package of the lines (kind, text); images that aren't given are left out."""
-    images, body, used = images or {}, [], []
-    if title:
-        body += [_paragraph(_run(title, 18, bold=True), centred=True), _paragraph("")]
-    for kind, text in lines:
-        if kind == "header":
-            body.append(_paragraph(_run(text, 14, bold=True, font="黑体")))
-        elif kind == "stem":
-            number, _, rest = text.partition(". ")
-            body.append(_paragraph(_run(f"{number}. ", bold=True) + _formatted(rest)))
-        elif kind == "image":
-            if text in images:
-                used.append(text)
-                body.append(_paragraph(_picture(f"rIdImage{len(used)}", len(used))))
-        elif kind == "options":
-            cells = [x.partition(". ") for x in text.split("\t\t")]
-            body.append(_paragraph(_run("\t\t").join(_run(f"{a}. ", bold=True) + _formatted(c) for a, _, c in cells), 0.5))
-        elif kind == "answer":
-            body.append(_paragraph(_run(text, 10.5, color="008000"), 0.3))
-        elif kind == "analysis":
-            body.append(_paragraph(_run(text[:4], 10.5, bold=True, color="0000FF") + _formatted(text[4:]), 0.3))
-        else:
-            body.append(_paragraph(""))
+def _paragraph_of(kind: str, text: str, images: dict[str, bytes], used: list[str]) -> str:
+    """The markup of a line; images that are shown are noted in ``used``."""
+    if kind == "header":
+        return _paragraph(_run(text, 14, bold=True, font="黑体"))
+    if kind == "stem":
+        number, _, rest = text.partition(". ")
+        return _paragraph(_run(f"{number}. ", bold=True) + _formatted(rest))
+    if kind == "image":
+        if text not in images:
+            return ""
+        used.append(text)
+        return _paragraph(_picture(f"rIdImage{len(used)}", len(used)))
+    if kind == "options":
+        cells = [x.partition(". ") for x in text.split("\t\t")]
+        return _paragraph(_run("\t\t").join(_run(f"{a}. ", bold=True) + _formatted(c) for a, _, c in cells), 0.5)
+    if kind == "answer":
+        return _paragraph(_run(text, 10.5, color="008000"), 0.3)
+    if kind == "analysis":
+        return _paragraph(_run(text[:4], 10.5, bold=True, color="0000FF") + _formatted(text[4:]), 0.3)
+    return _paragraph("")
+
+
+def docx_bytes(lines: Iterable[tuple[str, str]], title: str = "", watermark: str = "", images: dict[str, bytes] | None = None) -> bytes:
+    """A package of the lines (kind, text); images that aren't given are left out.
+
+    Lines are taken one by one and written as they come: beside the package itself no more than a line is held.
+    """
+    images, used = images or {}, []
     header = '<w:headerReference w:type="default" r:id="rIdHeader"/>' if watermark else ""
-    document = f"<w:document {NS}><w:body>{''.join(body)}<w:sectPr>{header}</w:sectPr></w:body></w:document>"
     styles = f'<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman" w:eastAsia="宋体"/><w:sz w:val="24"/></w:rPr></w:rPrDefault></w:docDefaults></w:styles>'
-    relations = [("rIdStyles", "styles", "styles.xml")] + [("rIdHeader", "header", "header1.xml")] * bool(watermark) + [(f"rIdImage{i + 1}", "image", f"media/{name}") for i, name in enumerate(used)]
-    related = "".join(f'<Relationship Id="{i}" Type="{RELATION}/{kind}" Target={quoteattr(target)}/>' for i, kind, target in relations)
     kinds = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + "".join(f'<Default Extension="{x}" ContentType="image/{x}"/>' for x in ("png", "jpeg", "jpg", "gif", "wmf", "emf"))
-    parts = {
+    out, first = io.BytesIO(), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    before = {
         "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">{kinds}<Override PartName="/word/document.xml" ContentType="{DOCX_TYPE}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{DOCX_TYPE}.styles+xml"/><Override PartName="/word/header1.xml" ContentType="{DOCX_TYPE}.header+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{RELATION}/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": document,
-        "word/styles.xml": styles,
-        "word/_rels/document.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{related}</Relationships>',
-    } | ({"word/header1.xml": _watermark(watermark)} if watermark else {})
-    out = io.BytesIO()
+    }
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + text)
+        for name, text in before.items():
+            z.writestr(zipfile.ZipInfo(name), first + text)
+        with z.open(zipfile.ZipInfo("word/document.xml"), "w") as f:
+            f.write(f"{first}<w:document {NS}><w:body>".encode())
+            if title:
+                f.write((_paragraph(_run(title, 18, bold=True), centred=True) + _paragraph("")).encode())
+            for kind, text in lines:
+                f.write(_paragraph_of(kind, text, images, used).encode())
+            f.write(f"<w:sectPr>{header}</w:sectPr></w:body></w:document>".encode())
+        relations = [("rIdStyles", "styles", "styles.xml")] + [("rIdHeader", "header", "header1.xml")] * bool(watermark) + [(f"rIdImage{i + 1}", "image", f"media/{name}") for i, name in enumerate(used)]
+        related = "".join(f'<Relationship Id="{i}" Type="{RELATION}/{kind}" Target={quoteattr(target)}/>' for i, kind, target in relations)
+        after = {
+            "word/styles.xml": styles,
+            "word/_rels/document.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{related}</Relationships>',
+        } | ({"word/header1.xml": _watermark(watermark)} if watermark else {})
+        for name, text in after.items():
+            z.writestr(zipfile.ZipInfo(name), first + text)
         for name in dict.fromkeys(used):
             z.writestr(zipfile.ZipInfo(f"word/media/{name}"), images[name])
     return out.getvalue()
@@ -132,14 +147,15 @@ def export_papers(questions: DataFrame, title: str = "", watermark: str = "", in
         wanted = lines.where("kind = 'image'").select("file_id", F.col("text").alias("filename")).distinct()
         rows = rows.unionByName(media.join(wanted, ["file_id", "filename"], "left_semi").select("file_id", F.lit(-1).alias("ord"), F.lit(0).alias("seq"), F.lit("bytes").alias("kind"), F.col("filename").alias("text"), "bytes"))
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "seq"])
-        held = pdf[pdf.kind == "bytes"]
-        plan = pdf[pdf.kind != "bytes"]
-        data = docx_bytes(list(zip(plan.kind, plan.text, strict=True)), title, watermark, dict(zip(held.text, held.bytes, strict=True)))
-        return pd.DataFrame({"file_id": [pdf.file_id.iloc[0]], "bytes": [data]})
+    def write(table: pa.Table) -> pa.Table:
+        # Texts stay in Arrow's memory, those of a batch of lines become Python's.
+        held = table.filter(pc.equal(table["kind"], "bytes"))
+        plan = table.select(["ord", "seq", "kind", "text"]).filter(pc.not_equal(table["kind"], "bytes")).sort_by([("ord", "ascending"), ("seq", "ascending")])
+        lines = ((k, t) for batch in plan.to_batches(1000) for k, t in zip(batch["kind"].to_pylist(), batch["text"].to_pylist(), strict=True))
+        data = docx_bytes(lines, title, watermark, dict(zip(held["text"].to_pylist(), held["bytes"].to_pylist(), strict=True)))
+        return pa.table({"file_id": pa.array([table["file_id"][0].as_py()], pa.string()), "bytes": pa.array([data], pa.binary())})
 
-    return rows.groupBy("file_id").applyInPandas(write, "file_id string, bytes binary")
+    return rows.groupBy("file_id").applyInArrow(write, "file_id string, bytes binary")
 
 
 def question_json(questions: DataFrame) -> DataFrame:
