@@ -149,18 +149,65 @@ def _paragraphs(xml: bytes, tables: bool) -> list[ET.Element]:
     return [x for x in body if local(x.tag) == "p"]
 
 
+class _Checked:
+    """A target that keeps nothing: whether there is a body."""
+
+    body = False
+
+    def start(self, tag: str, attributes: dict) -> None:
+        self.body = self.body or local(tag) == "body"
+
+    def close(self) -> bool:
+        return self.body
+
+
+def _streamed_paragraphs(xml: bytes) -> Iterator[ET.Element]:
+    """``_paragraphs`` without tables, one by one; what was passed is let go. A document is checked to its end first."""
+    check = ET.XMLParser(target=_Checked())
+    check.feed(xml)
+    if not check.close():
+        yield from _paragraphs(xml, False)
+        return
+    body, depth = None, 0
+    for event, e in ET.iterparse(io.BytesIO(xml), ("start", "end")):
+        if event == "start":
+            if body is not None:
+                depth += 1
+            elif local(e.tag) == "body":
+                body = e
+        elif e is body:
+            return
+        elif body is not None:
+            depth -= 1
+            if not depth:
+                if local(e.tag) == "p":
+                    yield e
+                body.clear()
+
+
+#: Paragraphs that are handed on together.
+BATCH_PARAGRAPHS = 1000
+
+
 def raw_paragraphs(parts: DataFrame, include_tables: bool = False) -> DataFrame:
     """(file_id, pos, style, items, error): the body's paragraphs with content; images aren't looked up yet."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file_id", "pos", "style", "items", "error"]
         for pdf in batches:
             for file_id, data in zip(pdf.file_id, pdf.bytes, strict=True):
+                rows = []
                 try:
-                    rows = [(file_id, pos, style(p), found, None) for pos, p in enumerate(_paragraphs(data, include_tables)) if (found := [x for c in p for x in items(c)])]
+                    for pos, p in enumerate(_paragraphs(data, True) if include_tables else _streamed_paragraphs(data)):
+                        if found := [x for c in p for x in items(c)]:
+                            rows.append((file_id, pos, style(p), found, None))
+                        if len(rows) >= BATCH_PARAGRAPHS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
                 except ET.ParseError as e:
                     rows = [(file_id, -1, None, None, f"ParseError: {e}")]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["file_id", "pos", "style", "items", "error"])
+                    yield pd.DataFrame(rows, columns=names)
 
     item = "struct<type: string, text: string, kind: string, rel_ids: array<string>>"
     return parts.where(F.col("part_name") == DOCUMENT).select("file_id", "bytes").mapInPandas(read, f"file_id string, pos int, style {schemas.STYLE}, items array<{item}>, error string")

@@ -273,3 +273,27 @@ def test_blocks_of_nested_pages_are_handed_on_in_parts(monkeypatch):
     assert len(made) > 20 and max(b.nbytes for b in made) < 4000
     rows = [r for b in made for r in b.to_pylist()]
     assert [(r["file_id"], r["pos"]) for r in rows] == [(f"f{i}", k) for i in range(20) for k in range(30)]
+
+
+def test_streamed_paragraphs_are_those_of_the_tree():
+    import tracemalloc
+    import xml.etree.ElementTree as ET
+
+    def shown(ps):
+        # What stands behind a paragraph isn't read yet, and isn't used.
+        return [(setattr(p, "tail", None), ET.tostring(p))[1] for p in ps]
+
+    texts = [b"<d><body><p>a<q/></p>t<tbl><p>in</p></tbl><p/><s><body><p>x</p></body></s><p><r><t>b</t></r></p></body><p>out</p></d>", b"<body><p>1</p></body>", b"<d><p>n<p>m</p></p></d>", b"<d><body/></d>", b"<d><h><p>h</p></h><body><p>1</p></body></d>"]
+    for xml in texts:
+        assert shown(docx._streamed_paragraphs(xml)) == shown(docx._paragraphs(xml, False)), xml
+    # A document that breaks at its end has no paragraphs at all.
+    for bad in (b"<d><body><p>1</p></body>", b"", b"x"):
+        with pytest.raises(ET.ParseError):
+            next(docx._streamed_paragraphs(bad))
+    xml = b"<d><body>" + b"<p><r><t>x</t></r></p>" * 50_000 + b"</body></d>"
+    tracemalloc.start()
+    assert sum(1 for _ in docx._streamed_paragraphs(xml)) == 50_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The whole tree takes ten times the text and more.
+    assert peak < 4 * len(xml)
