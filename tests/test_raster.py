@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from paperloom.plans import rasters
@@ -61,6 +62,22 @@ def test_images_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
 
 
+def test_filters_on_boxes_read_no_image_twice(spark):
+    from pyspark.sql.functions import pandas_udf
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("binary")
+    def made(data: pd.Series) -> pd.Series:
+        seen.add(len(data))
+        return data
+
+    rows = [(i, rasters._image(i, i)) for i in range(1, 41)]
+    found = raster.with_ratios(spark.createDataFrame(rows, "id long, bytes binary").select("id", made("bytes").alias("bytes")))
+    got = found.where("error is null").select("id", "fill_ratio").collect()
+    assert sorted(r["id"] for r in got) == [i for i, _ in rows if i % 11] and seen.value == len(rows)
+
+
 def test_bands_of_rows_join(monkeypatch):
     r = np.random.default_rng(5)
     for colour, depth in rasters.KINDS:
