@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import IO
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.options import option_pairs
+from paperloom.session import spread
+
+#: Bytes of a package that are one row where packages come in pieces.
+PIECE_BYTES = 64 << 10
 
 
 def section_headers(questions: DataFrame) -> DataFrame:
@@ -107,11 +113,18 @@ def docx_bytes(lines: Iterable[tuple[str, str]], title: str = "", watermark: str
 
     Lines are taken one by one and written as they come: beside the package itself no more than a line is held.
     """
-    images, used = images or {}, []
+    out = io.BytesIO()
+    write_docx(out, lines, title, watermark, {} if images is None else images)
+    return out.getvalue()
+
+
+def write_docx(out: IO[bytes], lines: Iterable[tuple[str, str]], title: str, watermark: str, images: dict[str, bytes], large: bool = False) -> None:
+    """Write a package of the lines; an image is looked up when its line comes. ``large``: the document may pass 2 GiB."""
+    used = []
     header = '<w:headerReference w:type="default" r:id="rIdHeader"/>' if watermark else ""
     styles = f'<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman" w:eastAsia="宋体"/><w:sz w:val="24"/></w:rPr></w:rPrDefault></w:docDefaults></w:styles>'
     kinds = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + "".join(f'<Default Extension="{x}" ContentType="image/{x}"/>' for x in ("png", "jpeg", "jpg", "gif", "wmf", "emf"))
-    out, first = io.BytesIO(), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    first = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
     before = {
         "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">{kinds}<Override PartName="/word/document.xml" ContentType="{DOCX_TYPE}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{DOCX_TYPE}.styles+xml"/><Override PartName="/word/header1.xml" ContentType="{DOCX_TYPE}.header+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{RELATION}/officeDocument" Target="word/document.xml"/></Relationships>',
@@ -119,7 +132,7 @@ def docx_bytes(lines: Iterable[tuple[str, str]], title: str = "", watermark: str
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in before.items():
             z.writestr(zipfile.ZipInfo(name), first + text)
-        with z.open(zipfile.ZipInfo("word/document.xml"), "w") as f:
+        with z.open(zipfile.ZipInfo("word/document.xml"), "w", force_zip64=large) as f:
             f.write(f"{first}<w:document {NS}><w:body>".encode())
             if title:
                 f.write((_paragraph(_run(title, 18, bold=True), centred=True) + _paragraph("")).encode())
@@ -136,26 +149,59 @@ def docx_bytes(lines: Iterable[tuple[str, str]], title: str = "", watermark: str
             z.writestr(zipfile.ZipInfo(name), first + text)
         for name in dict.fromkeys(used):
             z.writestr(zipfile.ZipInfo(f"word/media/{name}"), images[name])
-    return out.getvalue()
 
 
-def export_papers(questions: DataFrame, title: str = "", watermark: str = "", include_answer: bool = False, include_analysis: bool = False, media: DataFrame | None = None) -> DataFrame:
-    """(file_id, bytes): a .docx for each file, of its questions in order; ``media`` (file_id, filename, bytes) has the images."""
+def _package_rows(questions: DataFrame, include_answer: bool, include_analysis: bool, media: DataFrame | None) -> DataFrame:
+    """(file_id, kind, text, bytes): the lines of each paper in order, its images before them; a paper is in one task, its rows together."""
     lines = export_lines(questions, include_answer, include_analysis)
     rows = lines.select("file_id", "ord", "seq", "kind", "text", F.lit(None).cast("binary").alias("bytes"))
     if media is not None:
         wanted = lines.where("kind = 'image'").select("file_id", F.col("text").alias("filename")).distinct()
         rows = rows.unionByName(media.join(wanted, ["file_id", "filename"], "left_semi").select("file_id", F.lit(-1).alias("ord"), F.lit(0).alias("seq"), F.lit("bytes").alias("kind"), F.col("filename").alias("text"), "bytes"))
+    return spread(rows, "file_id").sortWithinPartitions("file_id", F.col("ord").asc_nulls_last(), "seq").select("file_id", "kind", "text", "bytes")
+
+
+def _package_files(batches: Iterator[pa.RecordBatch], title: str, watermark: str, large: bool) -> Iterator[tuple[str | None, IO[bytes]]]:
+    """A file in the task's own temporary folder for each paper among the rows, which are never held together."""
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("file_id", "kind", "text", "bytes")), strict=True))
+    for file_id, own in groupby(rows, key=lambda row: row[0]):
+        images: dict[str, bytes] = {}
+
+        def lines(own=own, images=images) -> Iterator[tuple[str, str]]:
+            for _, kind, text, data in own:
+                if kind == "bytes":
+                    images[text] = data
+                else:
+                    yield kind, text
+
+        with tempfile.TemporaryFile() as f:
+            write_docx(f, lines(), title, watermark, images, large)
+            f.seek(0)
+            yield file_id, f
+
+
+def export_papers(questions: DataFrame, title: str = "", watermark: str = "", include_answer: bool = False, include_analysis: bool = False, media: DataFrame | None = None) -> DataFrame:
+    """(file_id, bytes): a .docx for each file, of its questions in order; ``media`` (file_id, filename, bytes) has the images."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file_id, f in _package_files(batches, title, watermark, False):
+            yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.string()), pa.array([f.read()], pa.binary())], ["file_id", "bytes"])
+
+    return _package_rows(questions, include_answer, include_analysis, media).mapInArrow(write, "file_id string, bytes binary")
+
+
+def export_pieces(questions: DataFrame, title: str = "", watermark: str = "", include_answer: bool = False, include_analysis: bool = False, media: DataFrame | None = None) -> DataFrame:
+    """(file_id, n, bytes): the packages of ``export_papers`` in pieces of PIECE_BYTES, numbered from 0, for papers of any length.
+
+    No row and no task holds a whole paper; a task needs disk for one package. ``docx.piece_paragraphs`` reads them.
+    """
 
-    def write(table: pa.Table) -> pa.Table:
-        # Texts stay in Arrow's memory, those of a batch of lines become Python's.
-        held = table.filter(pc.equal(table["kind"], "bytes"))
-        plan = table.select(["ord", "seq", "kind", "text"]).filter(pc.not_equal(table["kind"], "bytes")).sort_by([("ord", "ascending"), ("seq", "ascending")])
-        lines = ((k, t) for batch in plan.to_batches(1000) for k, t in zip(batch["kind"].to_pylist(), batch["text"].to_pylist(), strict=True))
-        data = docx_bytes(lines, title, watermark, dict(zip(held["text"].to_pylist(), held["bytes"].to_pylist(), strict=True)))
-        return pa.table({"file_id": pa.array([table["file_id"][0].as_py()], pa.string()), "bytes": pa.array([data], pa.binary())})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file_id, f in _package_files(batches, title, watermark, True):
+            for n, piece in enumerate(iter(lambda f=f: f.read(PIECE_BYTES), b"")):
+                yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.string()), pa.array([n], pa.int64()), pa.array([piece], pa.binary())], ["file_id", "n", "bytes"])
 
-    return rows.groupBy("file_id").applyInArrow(write, "file_id string, bytes binary")
+    return _package_rows(questions, include_answer, include_analysis, media).mapInArrow(write, "file_id string, n long, bytes binary")
 
 
 def question_json(questions: DataFrame) -> DataFrame:

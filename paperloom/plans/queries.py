@@ -475,10 +475,10 @@ def docx_round_trip(spark, sf_dir):
     A section is written as its bare type word, which no header rule takes: on reading it goes to the question before,
     and the next question, if its line names points, is taken for that question's score. All others come back.
     """
-    from paperloom.sources.docx import paragraphs, read_parts
+    from paperloom.sources.docx import piece_paragraphs
 
-    made = export.export_papers(paper(spark, sf_dir), include_answer=True).withColumnRenamed("bytes", "content")
-    again = split_questions(paragraphs(read_parts(made)))
+    made = written(export.export_pieces(paper(spark, sf_dir), include_answer=True), "packages")
+    again = split_questions(piece_paragraphs(made))
     return again.select("file_id", "id", "number", "content", F.size("options").alias("n_options"), "answer")
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from html import escape
+from itertools import groupby
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from paperloom import schemas
 from paperloom.functions.omml import omml_to_latex
 from paperloom.functions.text import basename, stem, strip, suffix
+from paperloom.session import spread
 
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 DOCUMENT, RELS = "word/document.xml", "word/_rels/document.xml.rels"
@@ -162,55 +167,125 @@ class _Checked:
 
 
 def _streamed_paragraphs(xml: bytes) -> Iterator[ET.Element]:
+    return _read_paragraphs(lambda: io.BytesIO(xml))
+
+
+def _read_paragraphs(opened: Callable[[], IO[bytes]]) -> Iterator[ET.Element]:
     """``_paragraphs`` without tables, one by one; what was passed is let go. A document is checked to its end first."""
     check = ET.XMLParser(target=_Checked())
-    check.feed(xml)
+    with opened() as f:
+        while data := f.read(1 << 16):
+            check.feed(data)
     if not check.close():
-        yield from _paragraphs(xml, False)
+        with opened() as f:
+            yield from _paragraphs(f.read(), False)
         return
     body, depth = None, 0
-    for event, e in ET.iterparse(io.BytesIO(xml), ("start", "end")):
-        if event == "start":
-            if body is not None:
-                depth += 1
-            elif local(e.tag) == "body":
-                body = e
-        elif e is body:
-            return
-        elif body is not None:
-            depth -= 1
-            if not depth:
-                if local(e.tag) == "p":
-                    yield e
-                body.clear()
+    with opened() as f:
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                if body is not None:
+                    depth += 1
+                elif local(e.tag) == "body":
+                    body = e
+            elif e is body:
+                return
+            elif body is not None:
+                depth -= 1
+                if not depth:
+                    if local(e.tag) == "p":
+                        yield e
+                    body.clear()
 
 
 #: Paragraphs that are handed on together.
 BATCH_PARAGRAPHS = 1000
 
 
+RAW = f"file_id string, pos int, style {schemas.STYLE}, items array<struct<type: string, text: string, kind: string, rel_ids: array<string>>>, error string"
+
+
+def _raw_rows(file_id: str | None, found: Callable[[], Iterable[ET.Element]]) -> Iterator[pd.DataFrame]:
+    """The rows of ``raw_paragraphs`` for a document's paragraphs, by BATCH_PARAGRAPHS."""
+    names = ["file_id", "pos", "style", "items", "error"]
+    rows = []
+    try:
+        for pos, p in enumerate(found()):
+            if held := [x for c in p for x in items(c)]:
+                rows.append((file_id, pos, style(p), held, None))
+            if len(rows) >= BATCH_PARAGRAPHS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    except ET.ParseError as e:
+        rows = [(file_id, -1, None, None, f"ParseError: {e}")]
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 def raw_paragraphs(parts: DataFrame, include_tables: bool = False) -> DataFrame:
     """(file_id, pos, style, items, error): the body's paragraphs with content; images aren't looked up yet."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file_id", "pos", "style", "items", "error"]
         for pdf in batches:
             for file_id, data in zip(pdf.file_id, pdf.bytes, strict=True):
-                rows = []
-                try:
-                    for pos, p in enumerate(_paragraphs(data, True) if include_tables else _streamed_paragraphs(data)):
-                        if found := [x for c in p for x in items(c)]:
-                            rows.append((file_id, pos, style(p), found, None))
-                        if len(rows) >= BATCH_PARAGRAPHS:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                except ET.ParseError as e:
-                    rows = [(file_id, -1, None, None, f"ParseError: {e}")]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                yield from _raw_rows(file_id, lambda data=data: _paragraphs(data, True) if include_tables else _streamed_paragraphs(data))
+
+    return parts.where(F.col("part_name") == DOCUMENT).select("file_id", "bytes").mapInPandas(read, RAW)
+
+
+#: What reading a damaged package may raise.
+DAMAGED = (zipfile.BadZipFile, zlib.error, ValueError, OSError, TypeError, RuntimeError, EOFError)
+
+
+def _piece_files(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, IO[bytes]]]:
+    """The packages whose pieces follow one another, each as a file in the task's own temporary folder."""
+    rows = (row for pdf in batches for row in zip(pdf.file_id, pdf.bytes, strict=True))
+    for file_id, own in groupby(rows, key=lambda row: row[0]):
+        with tempfile.TemporaryFile() as f:
+            for _, data in own:
+                f.write(data)
+            yield file_id, f
 
-    item = "struct<type: string, text: string, kind: string, rel_ids: array<string>>"
-    return parts.where(F.col("part_name") == DOCUMENT).select("file_id", "bytes").mapInPandas(read, f"file_id string, pos int, style {schemas.STYLE}, items array<{item}>, error string")
+
+def raw_piece_paragraphs(pieces: DataFrame) -> DataFrame:
+    """``raw_paragraphs`` of dealt pieces (file_id, bytes); a package that can't be read is a row with an error too."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for file_id, f in _piece_files(batches):
+            try:
+                with zipfile.ZipFile(f) as z:
+                    if DOCUMENT in z.namelist():
+                        yield from _raw_rows(file_id, lambda z=z: _read_paragraphs(lambda: z.open(DOCUMENT)))
+            except DAMAGED as e:
+                yield pd.DataFrame([(file_id, -1, None, None, f"{type(e).__name__}: {e}")], columns=["file_id", "pos", "style", "items", "error"])
+
+    return pieces.mapInPandas(read, RAW)
+
+
+def _piece_names(pieces: DataFrame) -> DataFrame:
+    """``read_parts`` of dealt pieces as far as names need them: only relationships have their bytes."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for file_id, f in _piece_files(batches):
+            try:
+                with zipfile.ZipFile(f) as z:
+                    rows = [(file_id, n, z.read(n) if n == RELS else None) for n in z.namelist() if n.startswith("word/") and not n.endswith("/")]
+            except DAMAGED:
+                continue
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_id", "part_name", "bytes"])
+
+    return pieces.mapInPandas(read, "file_id string, part_name string, bytes binary")
+
+
+def piece_paragraphs(pieces: DataFrame) -> DataFrame:
+    """``paragraphs`` of packages that come in pieces (file_id, n, bytes), in order of n.
+
+    No row and no task holds a whole package or document: they pass through the task's temporary folder, which needs
+    room for one package. ``pieces`` are read twice: give them written.
+    """
+    dealt = spread(pieces, "file_id").sortWithinPartitions("file_id", "n").select("file_id", "bytes")
+    return _with_images(raw_piece_paragraphs(dealt), _piece_names(dealt))
 
 
 def paragraphs(parts: DataFrame, include_tables: bool = False) -> DataFrame:
@@ -218,8 +293,13 @@ def paragraphs(parts: DataFrame, include_tables: bool = False) -> DataFrame:
 
     An image whose relationships lead nowhere is dropped; an OLE object takes its converted preview if there is one.
     """
-    raw = raw_paragraphs(parts, include_tables).where("error is null")
-    # A package's relationships and media are small next to the package, which is a row already: they come as maps.
+    return _with_images(raw_paragraphs(parts, include_tables), parts)
+
+
+def _with_images(raw: DataFrame, parts: DataFrame) -> DataFrame:
+    """Raw paragraphs with their images looked up among the parts' names and relationships."""
+    raw = raw.where("error is null")
+    # A package's relationships and media are small next to the package: they come as maps.
     rels = relationships(parts).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("rel_id", "target"))).alias("_rels"))
     names = media(parts).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("original_filename", "filename"))).alias("_media"))
     joined = raw.join(rels, "file_id", "left").join(names, "file_id", "left")
