@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from paperloom.operators.options import option_pairs
 from paperloom.session import spread
 
-#: Bytes of a package that are one row where packages come in pieces.
-PIECE_BYTES = 64 << 10
+#: Bytes of a package that are one row where packages come in pieces: readers hold thousands of rows at once.
+PIECE_BYTES = 4 << 10
+#: Pieces that are handed on together.
+BATCH_PIECES = 256
 
 
 def section_headers(questions: DataFrame) -> DataFrame:
@@ -198,8 +200,11 @@ def export_pieces(questions: DataFrame, title: str = "", watermark: str = "", in
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file_id, f in _package_files(batches, title, watermark, True):
-            for n, piece in enumerate(iter(lambda f=f: f.read(PIECE_BYTES), b"")):
-                yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.string()), pa.array([n], pa.int64()), pa.array([piece], pa.binary())], ["file_id", "n", "bytes"])
+            n = 0
+            while data := f.read(BATCH_PIECES * PIECE_BYTES):
+                own = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+                yield pa.RecordBatch.from_arrays([pa.array([file_id] * len(own), pa.string()), pa.array(range(n, n + len(own)), pa.int64()), pa.array(own, pa.binary())], ["file_id", "n", "bytes"])
+                n += len(own)
 
     return _package_rows(questions, include_answer, include_analysis, media).mapInArrow(write, "file_id string, n long, bytes binary")
 
